@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerquarry.llm import canonical
+from ledgerquarry.llm import canonical, leaks
 from ledgerquarry.runtime import table
 
 
@@ -17,5 +17,9 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supplier_mapping(spark, sf_dir).select("read_id", F.col("entry_id").alias("supplier_id"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found,)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p9_found)}
 SQL: dict[str, str] = {}
