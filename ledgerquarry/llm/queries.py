@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerquarry.llm import canonical, leaks
+from ledgerquarry.llm import canonical, leaks, subjects
 from ledgerquarry.runtime import table
 
 
@@ -21,5 +21,13 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p9_found)}
+def document_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.assign_subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_seed"), table(spark, sf_dir, "subject_area"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p9_found, p10_found)}
 SQL: dict[str, str] = {}
