@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerquarry.llm import canonical, leaks, subjects
+from ledgerquarry.llm import canonical, leaks, linkage, subjects
 from ledgerquarry.runtime import table
 
 
+def invoice_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.link_invoices(*[table(spark, sf_dir, t) for t in ("model_read", "model_line", "po_line", "suppliers")])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return invoice_orders(spark, sf_dir).select("read_id", "po")
+
+
 def supplier_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.map_names(table(spark, sf_dir, "model_read"), "read_id", "supplier_name", table(spark, sf_dir, "suppliers"), "supplier_id", "name", "aliases")
 
@@ -29,5 +37,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_subjects(spark, sf_dir).select("doc_id", "subject")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p6_found, p9_found, p10_found)}
 SQL: dict[str, str] = {}
