@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerquarry.llm import canonical, leaks, linkage, subjects
+from ledgerquarry.llm import canonical, leaks, linkage, subjects, survivors
 from ledgerquarry.runtime import table
 
 
@@ -29,6 +29,14 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.surviving_readings(table(spark, sf_dir, "model_read"), table(spark, sf_dir, "field_value")).select("doc_type", "number_key", "field_name", "read_id")
+
+
+def p7_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.fused_readings(table(spark, sf_dir, "model_read"), table(spark, sf_dir, "field_value"))
+
+
 def document_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.assign_subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_seed"), table(spark, sf_dir, "subject_area"))
 
@@ -37,5 +45,22 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_subjects(spark, sf_dir).select("doc_id", "subject")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p6_found, p9_found, p10_found)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p6_found, p7_found, p7_fused, p9_found, p10_found)}
+_NUMBER = r"list_extract(regexp_extract_all(regexp_replace(coalesce(doc_number, ''), '([^0-9\s])', '\1\1', 'g'), '(^|[^0-9])([0-9](?:\s?[0-9]){8})($|[^0-9])', 2), 1)"
+_P7 = f"""
+WITH k AS (
+  SELECT read_id, doc_type, status, received_at, regexp_replace({_NUMBER}, '\\s', '', 'g') AS number_key FROM model_read),
+g AS (
+  SELECT k.* FROM k JOIN (SELECT doc_type, number_key FROM k WHERE number_key IS NOT NULL GROUP BY ALL HAVING count(DISTINCT read_id) > 1) s USING (doc_type, number_key)),
+c AS (
+  SELECT g.doc_type, g.number_key, v.field_name, g.read_id,
+         row_number() OVER (PARTITION BY g.doc_type, g.number_key, v.field_name ORDER BY
+           CASE g.status WHEN 'read' THEN 0 WHEN 'flagged' THEN 1 WHEN 'held' THEN 2 ELSE 3 END,
+           CASE coalesce(nullif(trim(v.evidence), ''), 'none') WHEN 'master' THEN 0 WHEN 'structure' THEN 1 WHEN 'label' THEN 2 WHEN 'layout' THEN 3 WHEN 'model' THEN 4 WHEN 'none' THEN 5 ELSE 6 END,
+           coalesce(v.confidence, -1) DESC, g.received_at DESC, g.read_id) AS rn
+  FROM g JOIN field_value v ON v.read_id = g.read_id
+  WHERE trim(coalesce(v.value, '')) <> '' AND g.status IS DISTINCT FROM 'duplicate')
+SELECT doc_type, number_key, field_name, read_id FROM c WHERE rn = 1
+"""
+
+SQL = {"p7_found": _P7}
