@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerquarry.llm import canonical, leaks, linkage, subjects, survivors
+from ledgerquarry.llm import canonical, leaks, linkage, packing, subjects, survivors
 from ledgerquarry.runtime import table
 
 
@@ -37,6 +37,14 @@ def p7_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.fused_readings(table(spark, sf_dir, "model_read"), table(spark, sf_dir, "field_value"))
 
 
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(p8_packed(spark, sf_dir))
+
+
 def document_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.assign_subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_seed"), table(spark, sf_dir, "subject_area"))
 
@@ -45,7 +53,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_subjects(spark, sf_dir).select("doc_id", "subject")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p6_found, p7_found, p7_fused, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p6_found, p7_found, p7_fused, p8_packed, p8_fill, p9_found, p10_found)}
 _NUMBER = r"list_extract(regexp_extract_all(regexp_replace(coalesce(doc_number, ''), '([^0-9\s])', '\1\1', 'g'), '(^|[^0-9])([0-9](?:\s?[0-9]){8})($|[^0-9])', 2), 1)"
 _P7 = f"""
 WITH k AS (
