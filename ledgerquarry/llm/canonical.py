@@ -56,9 +56,9 @@ def name_tokens(c: Column) -> Column:
 
 
 def allowed_edits(word: str, common: bool) -> int:
-    """Edits allowed to a vocabulary word: a code or very short word must be exact."""
+    """Edits allowed to a vocabulary word: a code or very short word must be exact; in words run together, one."""
     n = len(word)
-    return 2 if n >= 8 else 1 if n >= (4 if common else 6) else 0
+    return 1 if n > 20 else 2 if n >= 8 else 1 if n >= (4 if common else 6) else 0
 
 
 def deletions(word: str, most: int) -> set[str]:
@@ -70,13 +70,15 @@ def deletions(word: str, most: int) -> set[str]:
 
 
 def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Deletion forms of words, up to the edits allowed to each."""
     for pdf in batches:
-        tokens, forms = [], []
-        for t in pdf["token"]:
-            found = deletions(t.translate(LOOKALIKE)[:LONGEST_TOKEN], 2 if len(t) >= 6 else 1)
-            tokens += [t] * len(found)
+        words, forms, edits = [], [], []
+        for t, n in zip(pdf["word"], pdf["edits"]):
+            found = deletions(t.translate(LOOKALIKE)[:LONGEST_TOKEN], int(n))
+            words += [t] * len(found)
             forms += found
-        yield pd.DataFrame({"token": tokens, "form": forms})
+            edits += [n] * len(found)
+        yield pd.DataFrame({"word": words, "edits": edits, "form": forms})
 
 
 def repair_tokens(tokens: DataFrame, vocabulary: list[tuple[str, bool]]) -> DataFrame:
@@ -87,9 +89,12 @@ def repair_tokens(tokens: DataFrame, vocabulary: list[tuple[str, bool]]) -> Data
     exchanged are one edit; signs that scanners confuse (0/o, 1/l, 5/s, 6/b, 9/g) are none.
     """
     spark = tokens.sparkSession
-    forms = sorted({(f, w, allowed_edits(w, c)) for w, c in vocabulary for f in deletions(w, allowed_edits(w, c))})
-    known = spark.createDataFrame(forms, "form string, word string, edits int") if forms else spark.createDataFrame([], "form string, word string, edits int")
-    near = tokens.select("token").mapInPandas(_neighbours, "token string, form string").join(known, "form").select("token", "word", "edits").distinct()
+    words = sorted({(w, allowed_edits(w, c)) for w, c in vocabulary})
+    schema = "word string, edits int, form string"
+    known = spark.createDataFrame(words or [("", 0)], "word string, edits int").where("word <> ''").mapInPandas(_neighbours, schema)
+    most = F.when(F.length("token") >= 6, 2).otherwise(1)
+    asked = tokens.select(F.col("token").alias("word"), most.alias("edits")).mapInPandas(_neighbours, schema).select(F.col("word").alias("token"), "form")
+    near = asked.join(known, "form").select("token", "word", "edits").distinct()
     folded = F.translate("token", SCANNED, MEANT)
     letters = lambda c: F.array_sort(F.split(c, ""))
     d = F.levenshtein(folded, F.col("word"))
