@@ -57,7 +57,7 @@ def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 found = unpack_mail(ref, bytes(content))
             except Exception as e:  # a broken mail stays one item, with the reason
                 found = [(ref, ref.rpartition("/")[2], bytes(content), {"error": str(e)[:200]})]
-            rows += [(r, n, c, hashlib.sha256(c).hexdigest(), list(o.items())) for r, n, c, o in found]
+            rows += [(r, n, c, hashlib.sha256(c).hexdigest(), o) for r, n, c, o in found]
         yield pd.DataFrame(rows, columns=["ref", "name", "content", "sha256", "origin"])
 
 
