@@ -34,6 +34,8 @@ from ledgerquarry.runtime import bounded_rows, cut
 
 #: A sentence without a word that speaks for a subject stays without one: the log-odds a subject must exceed.
 NO_SUBJECT = 5.0
+#: Labelled words per subject at which the first round asks for half of that; it rises to the whole in three rounds.
+HALF_KNOWN = 1000.0
 #: A subject that no other sentence of the document deals with keeps this much of the prior.
 PRIOR_FLOOR = 0.01
 #: Weight of the corpus-wide word distribution in the estimates, in words.
@@ -119,7 +121,7 @@ def blocks(batch: pa.RecordBatch) -> Iterator[Block]:
         start = stop
 
 
-def posteriors(weights: np.ndarray, b: Block, labels: list[list[int]] | None) -> tuple[np.ndarray, np.ndarray]:
+def posteriors(weights: np.ndarray, b: Block, labels: list[list[int]] | None, no_subject: float = NO_SUBJECT) -> tuple[np.ndarray, np.ndarray]:
     """(sentence, subject) posteriors, what is missing to one being 'no subject', and each document's mix of subjects,
     which is the prior of its sentences."""
     k = weights.shape[2]
@@ -132,7 +134,7 @@ def posteriors(weights: np.ndarray, b: Block, labels: list[list[int]] | None) ->
             given[d, ls] = 1.0
     prior = given
     for _ in range(3):
-        z = np.concatenate([scores + np.log(prior)[b.docs], np.full((len(b.docs), 1), NO_SUBJECT)], axis=1)
+        z = np.concatenate([scores + np.log(prior)[b.docs], np.full((len(b.docs), 1), no_subject)], axis=1)
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(axis=1, keepdims=True)
@@ -143,7 +145,7 @@ def posteriors(weights: np.ndarray, b: Block, labels: list[list[int]] | None) ->
     return p[:, :k], mix
 
 
-def _count(bits: int, k: int, n_lang: int, model):
+def _count(bits: int, k: int, n_lang: int, model, no_subject: float):
     """Sums by language and bucket: c0 all words, c1..ck words by subject."""
     size = 1 << bits
 
@@ -162,7 +164,7 @@ def _count(bits: int, k: int, n_lang: int, model):
                             share[d, ls] = 1.0 / len(ls)
                     p = share[b.docs]
                 else:
-                    p, mix = posteriors(model.value, b, own)
+                    p, mix = posteriors(model.value, b, own, no_subject)
                     p = p + (1 - p.sum(axis=1, keepdims=True)) * mix[b.docs]
                 sentence = np.repeat(np.arange(len(b.docs)), b.lengths)
                 for s in range(k):
@@ -193,16 +195,16 @@ def log_odds(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _gather(features: DataFrame, bits: int, k: int, n_lang: int, model) -> np.ndarray:
-    """Weights (language, bucket, subject) from the counts of one pass over all documents."""
+def _gather(features: DataFrame, bits: int, k: int, n_lang: int, model, no_subject: float = NO_SUBJECT) -> tuple[np.ndarray, float]:
+    """Weights (language, bucket, subject) from the counts of one pass over all documents, and the words per subject."""
     schema = "bucket int, " + ", ".join(f"c{s} double" for s in range(k + 1))
-    summed = features.mapInArrow(_count(bits, k, n_lang, model), schema).groupBy("bucket").agg(*[F.sum(f"c{s}").alias(f"c{s}") for s in range(k + 1)])
+    summed = features.mapInArrow(_count(bits, k, n_lang, model, no_subject), schema).groupBy("bucket").agg(*[F.sum(f"c{s}").alias(f"c{s}") for s in range(k + 1)])
     counts = np.zeros((k + 1, n_lang << bits))
     table = summed.toArrow()  # at most languages x 2**bits rows
     at = np.asarray(table.column("bucket"))
     for s in range(k + 1):
         counts[s, at] = np.asarray(table.column(f"c{s}"))
-    return np.stack([log_odds(counts[:, i << bits : (i + 1) << bits]) for i in range(n_lang)])
+    return np.stack([log_odds(counts[:, i << bits : (i + 1) << bits]) for i in range(n_lang)]), float(counts[1:].sum()) / k
 
 
 def _shares(model, names: list[str], schema: pa.Schema):
@@ -265,10 +267,11 @@ def prepare(docs: DataFrame, labels: DataFrame, names: list[str], *, doc_id: str
 def fit(features: DataFrame, n_lang: int, names: list[str], *, rounds: int, bits: int) -> SubjectModel:
     """Fit on labelled documents, then ``rounds`` of expectation-maximisation over all documents."""
     sc, k = features.sparkSession.sparkContext, len(names)
-    weights = _gather(features, bits, k, n_lang, None)
-    for _ in range(rounds):
+    weights, known = _gather(features, bits, k, n_lang, None)
+    first = NO_SUBJECT * known / (known + HALF_KNOWN)
+    for i in range(rounds):
         shared = sc.broadcast(weights)  # languages x 2**bits x subjects x 4 bytes, whatever the corpus
-        weights = _gather(features, bits, k, n_lang, shared)
+        weights, _ = _gather(features, bits, k, n_lang, shared, first + (NO_SUBJECT - first) * min(1.0, i / 3))
         shared.unpersist()
     return SubjectModel(names, weights, bits)
 

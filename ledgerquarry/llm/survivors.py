@@ -86,49 +86,59 @@ def _independence(shared_true: float, shared_false: float, differ: float, a1: fl
     return float(1 / (1 + PRIOR_COPY / (1 - PRIOR_COPY) * np.exp(np.clip(gain, -50, 50))))
 
 
-def fuse(claims: DataFrame, *, rounds: int = 4, max_sources: int = 200) -> DataFrame:
+def _pair_counts(claims: DataFrame, names: list[str]) -> list[tuple[str, str, int, int, int]]:
+    """For each pair of sources, on how many items they share a true value, share a false one, and differ.
+
+    ``claims``: (item, source, value, truth); where truth is null, what is shared counts as true. Claims of one item are
+    few, one per source at most, so a row per item is bounded by the sources.
+    """
+    per_item = claims.groupBy("item").agg(F.max("truth").alias("truth"), F.map_from_entries(F.collect_list(F.struct("source", "value"))).alias("m"))
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    if not pairs:
+        return []
+    counts = []
+    for a, b in pairs:
+        x, y = F.try_element_at("m", F.lit(a)), F.try_element_at("m", F.lit(b))
+        true = F.coalesce(x == F.col("truth"), F.lit(True))
+        counts += [F.count_if((x == y) & true), F.count_if((x == y) & ~true), F.count_if(x != y)]
+    found = per_item.agg(*[c.alias(f"n{i}") for i, c in enumerate(counts)]).collect()[0]
+    return [(a, b, *found[3 * k : 3 * k + 3]) for k, (a, b) in enumerate(pairs)]
+
+
+def _vote_weights(counts: list[tuple[str, str, int, int, int]], accuracy: dict[str, float]) -> dict[str, float]:
+    """How much of each source's vote is its own: the less accurate of two dependent sources is taken for the copier."""
+    own = {n: 1.0 for n in accuracy}
+    for a, b, true, false, differ in counts:
+        chance = _independence(true, false, differ, accuracy[a], accuracy[b])
+        own[a if accuracy[a] < accuracy[b] else b] *= 1 - COPY_RATE * (1 - chance)
+    return own
+
+
+def fuse(claims: DataFrame, *, rounds: int = 4, max_sources: int = 60) -> DataFrame:
     """(item, value, posterior, n_sources): the value of highest posterior of each item.
 
-    ``claims``: (item, source, value), one claim of a source for an item. Each round: votes are summed by item and value
-    (map-side combined), the likeliest values give new accuracies and, for each pair of sources, how often they share
-    true and false values, which gives the chance of copying; a copied vote counts less. Only sources and pairs of
-    sources reach the driver, at most ``max_sources`` squared numbers.
+    ``claims``: (item, source, value), one claim of a source for an item. Dependence is first judged from agreement
+    alone. Each round, votes are summed by item and value (map-side combined); the likeliest values give new accuracies
+    and, for each pair of sources, how often they share true and false values, which gives the chance of copying; copied
+    votes count less. Only numbers per source and pair of sources reach the driver.
     """
     claims = claims.where("item is not null and source is not null and value is not null")
     claims = cut(claims.groupBy("item", "source").agg(F.min("value").alias("value")))
     names = sorted(r[0] for r in bounded_rows(claims.select("source").distinct(), max_sources, "the sources"))
-    accuracy, weight = {n: 0.8 for n in names}, {n: 1.0 for n in names}
+    accuracy = {n: 0.8 for n in names}
+    weight = _vote_weights(_pair_counts(claims.withColumn("truth", F.lit(None).cast("string")), names), accuracy)
     best = None
     for _ in range(rounds):
-        vote = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(float(weight[n] * np.log(FALSE_VALUES * accuracy[n] / (1 - accuracy[n])))))]) if names else F.create_map(F.lit(""), F.lit(0.0))
+        votes_of = [x for n in names for x in (F.lit(n), F.lit(float(weight[n] * np.log(FALSE_VALUES * accuracy[n] / (1 - accuracy[n])))))]
+        vote = F.create_map(*(votes_of or [F.lit(""), F.lit(0.0)]))
         votes = claims.groupBy("item", "value").agg(F.sum(F.try_element_at(vote, F.col("source"))).alias("v"), F.count("*").alias("n_sources"))
-        top = F.max_by(F.struct("value", "v", "n_sources"), F.struct("v", "value"))
-        shift = F.max("v")
-        best = votes.groupBy("item").agg(top.alias("top"), shift.alias("most"), F.collect_list("v").alias("vs"))
+        best = votes.groupBy("item").agg(F.max_by(F.struct("value", "v", "n_sources"), F.struct("v", "value")).alias("top"), F.max("v").alias("most"), F.collect_list("v").alias("vs"))
         total = F.aggregate("vs", F.exp(-F.col("most")) * FALSE_VALUES, lambda acc, x: acc + F.exp(x - F.col("most")))
         best = cut(best.select("item", F.col("top.value").alias("value"), (1 / total).alias("posterior"), F.col("top.n_sources").alias("n_sources")))
         judged = cut(claims.join(best.select("item", F.col("value").alias("truth"), "posterior"), "item"))
         right = judged.groupBy("source").agg(F.avg(F.when(F.col("value") == F.col("truth"), F.col("posterior")).otherwise((1 - F.col("posterior")) / FALSE_VALUES)).alias("a")).collect()
         accuracy |= {r[0]: float(min(0.99, max(0.05, r[1]))) for r in right}
-        # Claims of one item are few (one per source at most), so pairs within an item are bounded by the sources.
-        per_item = judged.groupBy("item", "truth").agg(F.map_from_entries(F.collect_list(F.struct("source", "value"))).alias("m"))
-        pairs = []
-        for i, a in enumerate(names):
-            for b in names[i + 1 :]:
-                x, y = F.try_element_at("m", F.lit(a)), F.try_element_at("m", F.lit(b))
-                both = x.isNotNull() & y.isNotNull()
-                pairs += [F.count_if(both & (x == y) & (x == F.col("truth"))), F.count_if(both & (x == y) & (x != F.col("truth"))), F.count_if(both & (x != y))]
-        found = per_item.agg(*[p.alias(f"p{i}") for i, p in enumerate(pairs)]).collect()[0] if pairs else ()
-        independent = {n: 1.0 for n in names}
-        k = 0
-        for i, a in enumerate(names):
-            for b in names[i + 1 :]:
-                chance = _independence(found[k], found[k + 1], found[k + 2], accuracy[a], accuracy[b])
-                # The less accurate of two dependent sources is taken for the copier.
-                copier = a if accuracy[a] < accuracy[b] else b
-                independent[copier] *= 1 - COPY_RATE * (1 - chance)
-                k += 3
-        weight = independent
+        weight = _vote_weights(_pair_counts(judged, names), accuracy)
     return best
 
 
