@@ -141,7 +141,8 @@ def posteriors(weights: np.ndarray, b: Block, labels: list[list[int]] | None, no
         mix = np.stack([np.bincount(b.docs, weights=p[:, s], minlength=b.n_docs) for s in range(k)], axis=1)
         mix = given * (mix + 0.02)
         mix /= mix.sum(axis=1, keepdims=True)
-        prior = np.maximum(mix, PRIOR_FLOOR)
+        # The document's main subject is as likely as if nothing were known of the document.
+        prior = np.maximum(mix / mix.max(axis=1, keepdims=True), PRIOR_FLOOR)
     return p[:, :k], mix
 
 

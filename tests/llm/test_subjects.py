@@ -14,7 +14,7 @@ def corpus(n, seed=1):
     for i in range(n):
         main = rng.choice(list(NOUNS))
         other = rng.choice([s for s in NOUNS if s != main])
-        k, m = rng.choice([(8, 0), (8, 1), (5, 4)])
+        k, m = rng.choice([(8, 0)] * 4 + [(8, 1), (5, 4)])
         said = [rng.choice(FORMS).format(rng.choice(NOUNS[s]), rng.choice(NOUNS[s])) for s in [main] * k + [other] * m]
         said += [rng.choice(FILL)]
         rng.shuffle(said)
