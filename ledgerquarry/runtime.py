@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,25 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Spark's workers import this package, wherever the driver was started: once per application, the driver's
+    file server hands its sources to every executor."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="quarry-package-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, str(p.relative_to(root.parent)))
+        sc.addPyFile(str(target))
+        _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +55,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder; survives the loss of executors."""
+    ship_package(df.sparkSession)
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -51,6 +72,7 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Dat
 
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     """Collect a reference list whose size has a bound; raises instead of flooding the driver."""
+    ship_package(df.sparkSession)
     rows = df.limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"{what} has more than {limit} rows; it is expected to be a small reference list")
