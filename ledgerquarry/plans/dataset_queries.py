@@ -152,4 +152,18 @@ judged AS (
 SELECT read_id, field_name, ref_key, reason, strftime(received_at AT TIME ZONE 'UTC', '%Y-%m') AS period FROM judged WHERE reason IS NOT NULL
 """
 
-SQL = {"p2_found": _P2, "p3_found": _P3}
+_CASCADE = f"""
+WITH RECURSIVE direct AS ({_P3}),
+inv AS (SELECT unnest({_runs("doc_number", 9)}) AS ref_key, read_id AS parent FROM model_read WHERE doc_type = 'supplier_invoice'),
+edges AS (SELECT DISTINCT r.read_id AS node, inv.parent FROM (SELECT read_id, unnest({_runs("original_invoice", 9)}) AS ref_key FROM model_read) r JOIN inv USING (ref_key)),
+walk AS (SELECT DISTINCT read_id AS node, 0 AS depth FROM direct UNION SELECT e.node, w.depth + 1 FROM walk w JOIN edges e ON e.parent = w.node WHERE w.depth < 20),
+least AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)
+SELECT read_id, field_name, ref_key, reason, period, 0 AS depth FROM direct
+UNION ALL SELECT l.node, 'original_invoice', '', 'inherited', strftime(m.received_at AT TIME ZONE 'UTC', '%Y-%m'), l.depth FROM least l JOIN model_read m ON m.read_id = l.node WHERE l.depth > 0
+"""
+_BY_PERIOD = f"""
+SELECT CASE field_name WHEN 'po_reference' THEN 'po_line' ELSE 'model_read' END AS target, period, CASE WHEN depth = 0 THEN reason ELSE 'inherited' END AS kind, count(*) AS n_refs, count(DISTINCT read_id) AS n_reads
+FROM ({_CASCADE}) GROUP BY ALL
+"""
+
+SQL = {"p2_found": _P2, "p3_found": _P3, "p3_cascade": _CASCADE, "p3_by_period": _BY_PERIOD}

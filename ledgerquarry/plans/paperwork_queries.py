@@ -316,4 +316,16 @@ SELECT read_id, ref, page, CAST(sum(cut) OVER (PARTITION BY ref ORDER BY page, r
     "digit_share": "SELECT coalesce(source, '') AS source, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(sum(length(regexp_replace(text, '[^0-9]', '', 'g'))) AS BIGINT) AS n_digits FROM documents GROUP BY 1",
     "confidence_bands": f"SELECT source, CASE WHEN s >= 0.92 THEN 'auto' WHEN s >= 0.75 THEN 'review' ELSE 'held' END AS band, count(*) AS n FROM (SELECT source, round(CASE WHEN grounded = false THEN least({_SCORE}, 0.35) ELSE {_SCORE} END, 3) AS s FROM (SELECT DISTINCT * FROM field_value)) GROUP BY ALL",
     "score_tallies": "SELECT field_name, source, count(*) FILTER (same) AS n_right, count(*) AS n_all FROM (SELECT field_name, source, regexp_replace(lower(value), '[^a-z0-9]', '', 'g') = regexp_replace(lower(coalesce(printed, '')), '[^a-z0-9]', '', 'g') AS same FROM field_value WHERE value <> '') GROUP BY GROUPING SETS ((), (field_name), (source))",
+    "parsed_numbers": r"""
+SELECT read_id, line_no, quantity, CASE WHEN regexp_matches(p, '^-?[0-9]*\.?[0-9]*$') AND regexp_matches(p, '[0-9]') THEN CAST(TRY_CAST(p AS DECIMAL(18, 6)) AS DOUBLE) END AS quantity_n
+FROM (SELECT *, CASE WHEN contains(t, ',') AND NOT contains(t, '.') AND NOT regexp_matches(t, ',[0-9]{3}$') THEN replace(t, ',', '.') ELSE replace(t, ',', '') END AS p
+      FROM (SELECT DISTINCT read_id, line_no, quantity, regexp_replace(coalesce(quantity, ''), '[^0-9.,-]', '', 'g') AS t FROM model_line))""",
+    "text_shapes": r"""
+SELECT doc_id, count(*) FILTER (len(cells) > 0) AS n_rows, CAST(sum(len(cells)) AS BIGINT) AS n_cells
+FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(line, '\t+|\s{2,}'), lambda x: trim(x)), lambda x: x <> '') AS cells
+      FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c]')) AS line FROM documents)) GROUP BY doc_id""",
+    "date_order": r"""
+SELECT read_id, CASE WHEN a[1] > 12 THEN 'dayfirst' WHEN a[2] > 12 THEN 'monthfirst' END AS proof
+FROM (SELECT read_id, list_filter(list_transform(regexp_extract_all(concat_ws(' ', date, due_date, delivery_date), '\b([0-9]{1,2}[/.-][0-9]{1,2})[/.-][0-9]{2,4}\b', 1), lambda x: list_transform(regexp_split_to_array(x, '[/.-]'), lambda y: CAST(y AS INTEGER))),
+        lambda p: (p[1] > 12 AND p[2] <= 12) OR (p[2] > 12 AND p[1] <= 12))[1] AS a FROM model_read)""",
 }
