@@ -94,7 +94,8 @@ def repair_tokens(tokens: DataFrame, vocabulary: list[tuple[str, bool]]) -> Data
     known = spark.createDataFrame(words or [("", 0)], "word string, edits int").where("word <> ''").mapInPandas(_neighbours, schema)
     most = F.when(F.length("token") >= 6, 2).otherwise(1)
     asked = tokens.select(F.col("token").alias("word"), most.alias("edits")).mapInPandas(_neighbours, schema).select(F.col("word").alias("token"), "form")
-    near = asked.join(known, "form").select("token", "word", "edits").distinct()
+    # Both sides grow with their tables, and Spark can't estimate what the workers expand: they are never broadcast.
+    near = asked.join(known.hint("merge"), "form").select("token", "word", "edits").distinct()
     folded = F.translate("token", SCANNED, MEANT)
     letters = lambda c: F.array_sort(F.split(c, ""))
     d = F.levenshtein(folded, F.col("word"))
