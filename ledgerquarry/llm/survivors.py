@@ -86,26 +86,36 @@ def _independence(shared_true: float, shared_false: float, differ: float, a1: fl
     return float(1 / (1 + PRIOR_COPY / (1 - PRIOR_COPY) * np.exp(np.clip(gain, -50, 50))))
 
 
-def _pair_counts(claims: DataFrame, names: list[str]) -> list[tuple[str, str, int, int, int]]:
+def _pair_counts(claims: DataFrame, items: dict[tuple[str, str], int]) -> list[tuple[str, str, float, float, float]]:
     """For each pair of sources, on how many items they share a true value, share a false one, and differ.
 
-    ``claims``: (item, source, value, truth); where truth is null, what is shared counts as true. Claims of one item are
-    few, one per source at most, so a row per item is bounded by the sources.
+    ``claims``: (item, source, value, share, truth), ``share`` being the part of the source's claims of the item that
+    give the value: a source that gives several values shares and differs in part. Where truth is null, what is shared
+    counts as true. ``items``: on how many items both make a claim. A row per item and value is bounded by the sources.
     """
-    per_item = claims.groupBy("item").agg(F.max("truth").alias("truth"), F.map_from_entries(F.collect_list(F.struct("source", "value"))).alias("m"))
+    if not items:
+        return []
+    per_value = claims.groupBy("item", "value").agg(F.max("truth").alias("truth"), F.map_from_entries(F.collect_list(F.struct("source", "share"))).alias("m"))
+    true = F.coalesce(F.col("value") == F.col("truth"), F.lit(True))
+    sums = []
+    for a, b in items:
+        both = F.try_element_at("m", F.lit(a)) * F.try_element_at("m", F.lit(b))
+        sums += [F.sum(F.when(true, both)), F.sum(F.when(~true, both))]
+    found = [float(x or 0.0) for x in per_value.agg(*[c.alias(f"n{i}") for i, c in enumerate(sums)]).collect()[0]]
+    return [(a, b, found[2 * k], found[2 * k + 1], max(0.0, n - found[2 * k] - found[2 * k + 1])) for k, ((a, b), n) in enumerate(items.items())]
+
+
+def _common_items(claims: DataFrame, names: list[str]) -> dict[tuple[str, str], int]:
+    """On how many items each pair of sources makes a claim; pairs without any are left out."""
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     if not pairs:
-        return []
-    counts = []
-    for a, b in pairs:
-        x, y = F.try_element_at("m", F.lit(a)), F.try_element_at("m", F.lit(b))
-        true = F.coalesce(x == F.col("truth"), F.lit(True))
-        counts += [F.count_if((x == y) & true), F.count_if((x == y) & ~true), F.count_if(x != y)]
-    found = per_item.agg(*[c.alias(f"n{i}") for i, c in enumerate(counts)]).collect()[0]
-    return [(a, b, *found[3 * k : 3 * k + 3]) for k, (a, b) in enumerate(pairs)]
+        return {}
+    per_item = claims.groupBy("item").agg(F.collect_set("source").alias("has"))
+    counts = [F.count_if(F.array_contains("has", a) & F.array_contains("has", b)).alias(f"n{i}") for i, (a, b) in enumerate(pairs)]
+    return {p: n for p, n in zip(pairs, per_item.agg(*counts).collect()[0]) if n}
 
 
-def _vote_weights(counts: list[tuple[str, str, int, int, int]], accuracy: dict[str, float]) -> dict[str, float]:
+def _vote_weights(counts: list[tuple[str, str, float, float, float]], accuracy: dict[str, float]) -> dict[str, float]:
     """How much of each source's vote is its own: the less accurate of two dependent sources is taken for the copier."""
     own = {n: 1.0 for n in accuracy}
     for a, b, true, false, differ in counts:
@@ -114,38 +124,47 @@ def _vote_weights(counts: list[tuple[str, str, int, int, int]], accuracy: dict[s
     return own
 
 
-def fuse(claims: DataFrame, *, rounds: int = 4, max_sources: int = 60) -> DataFrame:
+def fuse(claims: DataFrame, *, claimant: str | None = None, rounds: int = 4, max_sources: int = 60) -> DataFrame:
     """(item, value, posterior, n_sources): the value of highest posterior of each item.
 
-    ``claims``: (item, source, value), one claim of a source for an item. Dependence is first judged from agreement
-    alone. Each round, votes are summed by item and value (map-side combined); the likeliest values give new accuracies
-    and, for each pair of sources, how often they share true and false values, which gives the chance of copying; copied
-    votes count less. Only numbers per source and pair of sources reach the driver.
+    ``claims``: (item, source, value) and, where several records speak through one source, the column ``claimant`` that
+    tells them apart: each has a vote of its own. Every distinct value of an item is a candidate. Accuracy and copying
+    are those of the source. Dependence is first judged from agreement alone. Each round, votes are summed by item and
+    value (map-side combined); the likeliest values give new accuracies and, for each pair of sources, how often they
+    share true and false values, which gives the chance of copying; copied votes count less. Only numbers per source and
+    pair of sources reach the driver.
     """
     claims = claims.where("item is not null and source is not null and value is not null")
-    claims = cut(claims.groupBy("item", "source").agg(F.min("value").alias("value")))
+    once = claims.select("item", "source", "value", F.col(claimant or "source").alias("claimant")).distinct()
+    claims = cut(once.groupBy("item", "source", "value").agg(F.count("*").alias("n")))
+    of_source = claims.groupBy("item", "source").agg(F.sum("n").alias("__all"))
+    claims = cut(claims.join(of_source, ["item", "source"]).select("item", "source", "value", "n", (F.col("n") / F.col("__all")).alias("share")))
     names = sorted(r[0] for r in bounded_rows(claims.select("source").distinct(), max_sources, "the sources"))
+    common = _common_items(claims, names)
     accuracy = {n: 0.8 for n in names}
-    weight = _vote_weights(_pair_counts(claims.withColumn("truth", F.lit(None).cast("string")), names), accuracy)
+    weight = _vote_weights(_pair_counts(claims.withColumn("truth", F.lit(None).cast("string")), common), accuracy)
     best = None
     for _ in range(rounds):
         votes_of = [x for n in names for x in (F.lit(n), F.lit(float(weight[n] * np.log(FALSE_VALUES * accuracy[n] / (1 - accuracy[n])))))]
         vote = F.create_map(*(votes_of or [F.lit(""), F.lit(0.0)]))
-        votes = claims.groupBy("item", "value").agg(F.sum(F.try_element_at(vote, F.col("source"))).alias("v"), F.count("*").alias("n_sources"))
-        best = votes.groupBy("item").agg(F.max_by(F.struct("value", "v", "n_sources"), F.struct("v", "value")).alias("top"), F.max("v").alias("most"), F.collect_list("v").alias("vs"))
-        total = F.aggregate("vs", F.exp(-F.col("most")) * FALSE_VALUES, lambda acc, x: acc + F.exp(x - F.col("most")))
-        best = cut(best.select("item", F.col("top.value").alias("value"), (1 / total).alias("posterior"), F.col("top.n_sources").alias("n_sources")))
+        votes = claims.groupBy("item", "value").agg(F.sum(F.col("n") * F.try_element_at(vote, F.col("source"))).alias("v"), F.count("*").alias("n_sources"))
+        # The values of an item may be any number: they are summed, never listed.
+        top = votes.groupBy("item").agg(F.max_by(F.struct("value", "n_sources"), F.struct("v", "value")).alias("top"), F.max("v").alias("most"))
+        total = votes.select("item", "v").join(top, "item").groupBy("item").agg(F.first("top").alias("top"), F.first("most").alias("most"), F.sum(F.exp(F.col("v") - F.col("most"))).alias("sum"))
+        best = cut(total.select("item", F.col("top.value").alias("value"), (1 / (F.col("sum") + F.exp(-F.col("most")) * FALSE_VALUES)).alias("posterior"), F.col("top.n_sources").alias("n_sources")))
         judged = cut(claims.join(best.select("item", F.col("value").alias("truth"), "posterior"), "item"))
-        right = judged.groupBy("source").agg(F.avg(F.when(F.col("value") == F.col("truth"), F.col("posterior")).otherwise((1 - F.col("posterior")) / FALSE_VALUES)).alias("a")).collect()
+        chance = F.when(F.col("value") == F.col("truth"), F.col("posterior")).otherwise((1 - F.col("posterior")) / FALSE_VALUES)
+        right = judged.groupBy("source").agg((F.sum(F.col("n") * chance) / F.sum("n")).alias("a")).collect()
         accuracy |= {r[0]: float(min(0.99, max(0.05, r[1]))) for r in right}
-        weight = _vote_weights(_pair_counts(judged, names), accuracy)
+        weight = _vote_weights(_pair_counts(judged, common), accuracy)
     return best
 
 
 def fused_readings(reads: DataFrame, values: DataFrame) -> DataFrame:
-    """(doc_type, number_key, field_name, value, posterior, n_sources) by Bayesian fusion over the readers."""
+    """(doc_type, number_key, field_name, value, posterior, n_sources) by Bayesian fusion: every reading votes,
+    with the accuracy of the channel it came through."""
     rows = competing_values(reads, values).where("status is null or status <> 'duplicate'")
     item = F.concat_ws("|", "doc_type", "number_key", "field_name")
-    claims = rows.select(item.alias("item"), F.coalesce("source", "reader").alias("source"), F.regexp_replace(F.upper("value"), "[^A-Z0-9.-]", "").alias("value"))
+    claims = rows.select(item.alias("item"), "read_id", F.coalesce("source", "reader").alias("source"), F.regexp_replace(F.upper("value"), "[^A-Z0-9.-]", "").alias("value"))
     parts = F.split("item", r"\|")
-    return fuse(claims).select(parts[0].alias("doc_type"), parts[1].alias("number_key"), parts[2].alias("field_name"), "value", "posterior", "n_sources")
+    return fuse(claims, claimant="read_id").select(parts[0].alias("doc_type"), parts[1].alias("number_key"), parts[2].alias("field_name"), "value", "posterior", "n_sources")

@@ -35,3 +35,11 @@ def test_copied_votes_count_less(spark):
     right = sum(got[i] == f"t{i}" for i in range(120))
     assert right >= 114 and right > naive
     assert S.fuse(df.where("false")).count() == 0
+
+
+def test_every_reading_of_a_channel_votes(spark):
+    reads = spark.createDataFrame([(i, "inv", "read", t(1), "r", f"20000000{i // 10}", "") for i in (10, 11, 12, 20, 21, 22, 23)], READS)
+    values = spark.createDataFrame([(10, "total", "a", 0.9, "", "ubl"), (11, "total", "z", 0.9, "", "ubl"), (12, "total", "z", 0.9, "", "ubl"), (12, "total", "z", 0.9, "", "ubl"), *[(i, "total", v, 0.9, "", s) for i, v, s in ((20, "a", "ubl"), (21, "z", "ubl"), (22, "m", "csv"), (23, "z", "csv"))]], VALUES)
+    got = {r.number_key: (r.value, r.n_sources, r.posterior) for r in S.fused_readings(reads, values).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {"200000001": ("Z", 1), "200000002": ("Z", 2)}
+    assert all(0.5 < v[2] < 1 for v in got.values())
