@@ -11,6 +11,7 @@ the reported difference counts are always the same; extra columns are ignored an
 
 from __future__ import annotations
 
+import heapq
 import itertools
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from ledgerquarry.runtime import cut
 
 LEFT_ONLY, RIGHT_ONLY = "left_only", "right_only"
-#: Leftover rows of one key that one task may hold; larger keys are paired by fields, without gathering them.
+#: Leftover rows of one key whose costs are held as a matrix; larger keys are paired over their distinct values.
 EXACT_GROUP_ROWS = 400
 
 
@@ -91,43 +92,123 @@ def _pair_group(fields: list[str], columns: list[str]):
     return run
 
 
-def _by_fields(left: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """Pair the leftovers of very large keys without gathering them: for each set of agreeing fields, largest set
-    first, rows with equal values there are matched by interval of multiplicity. ``left`` holds one row per value with
-    a signed count. Nothing is dropped; the pairing takes the cheapest step first, so its total may exceed the least."""
-    from pyspark.sql import Window as W
-
-    out, rest = [], left
-    for size in range(len(fields) - 1, -1, -1):
-        for same in itertools.combinations(fields, size):
-            part = [*keys, *same]
-            side = F.when(F.col("__n") > 0, F.lit(1)).otherwise(F.lit(0))
-            w = W.partitionBy(*part, side).orderBy(*[F.col(f) for f in fields])
-            spans = rest.withColumn("__hi", F.sum(F.abs("__n")).over(w)).withColumn("__lo", F.col("__hi") - F.abs("__n"))
-            a, b = spans.where("__n > 0").alias("a"), spans.where("__n < 0").alias("b")
-            on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in part] + [F.col("a.__lo") < F.col("b.__hi"), F.col("b.__lo") < F.col("a.__hi")]
-            both = a.join(b, on).select(
-                *[F.col(f"a.{k}").alias(k) for k in keys],
-                *[F.col(f"a.{f}").alias(f"__l{n}") for n, f in enumerate(fields)],
-                *[F.col(f"b.{f}").alias(f"__r{n}") for n, f in enumerate(fields)],
-                (F.least("a.__hi", "b.__hi") - F.greatest("a.__lo", "b.__lo")).alias("__count"),
-            )
-            out.append(both.select(*both.columns, F.lit(True).alias("__inl"), F.lit(True).alias("__inr")))
-            used_l = both.select(*keys, *[F.col(f"__l{n}").alias(f) for n, f in enumerate(fields)], (-F.col("__count")).alias("__n"))
-            used_r = both.select(*keys, *[F.col(f"__r{n}").alias(f) for n, f in enumerate(fields)], F.col("__count").alias("__n"))
-            side_col = lambda d, s: d.withColumn("__s", F.lit(s))
-            pool = side_col(rest.where("__n > 0"), 1).unionByName(side_col(rest.where("__n < 0"), -1))
-            pool = pool.unionByName(side_col(used_l, 1)).unionByName(side_col(used_r, -1))
-            rest = cut(pool.groupBy(*keys, *fields, "__s").agg(F.sum("__n").alias("__n")).where("__n <> 0").drop("__s"))
-    one = rest.select(
-        *keys,
-        *[F.when(F.col("__n") > 0, F.col(f)).alias(f"__l{n}") for n, f in enumerate(fields)],
-        *[F.when(F.col("__n") < 0, F.col(f)).alias(f"__r{n}") for n, f in enumerate(fields)],
-        F.abs("__n").alias("__count"), (F.col("__n") > 0).alias("__inl"), (F.col("__n") < 0).alias("__inr"),
-    )
-    for both in out:
-        one = one.unionByName(both)
-    return one
+def transport(left: list[tuple], right: list[tuple], n_left: list[int], n_right: list[int]) -> list[tuple[int, int, int]]:
+    """(i, j, count): values of both sides paired, by multiplicity, at the least total of differing fields.
+
+    Pairs meet in hubs, one for each set of fields and their values, that cost what the other fields may differ; so the
+    graph grows with the values, not with their pairs. The flow is the cheapest at every step (shortest paths with
+    potentials) and sent in bulk (levels, blocking flows), so the total is the least. Hubs without fields take what
+    agrees in nothing, so the smaller side is always used up.
+    """
+    d = len(left[0]) if left else 0
+    to, cap, cost, graph = [], [], [], [[] for _ in range(2 + len(left) + len(right))]
+
+    def add(u: int, v: int, c: int, w: int) -> None:
+        for x, y, c_, w_ in ((u, v, c, w), (v, u, 0, -w)):
+            graph[x].append(len(to))
+            to.append(y), cap.append(c_), cost.append(w_)
+
+    first_right, want = 2 + len(left), min(sum(n_left), sum(n_right))
+    for i, n in enumerate(n_left):
+        add(0, 2 + i, n, 0)
+    for j, n in enumerate(n_right):
+        add(first_right + j, 1, n, 0)
+    for size in range(d):
+        for same in itertools.combinations(range(d), size):
+            sides: dict[tuple, tuple[list[int], list[int]]] = {}
+            for side, values in enumerate((left, right)):
+                for i, v in enumerate(values):
+                    sides.setdefault(tuple(v[f] for f in same), ([], []))[side].append(i)
+            for a, b in sides.values():
+                if a and b:
+                    graph.append([])
+                    for i in a:
+                        add(2 + i, len(graph) - 1, want, d - size)
+                    for j in b:
+                        add(len(graph) - 1, first_right + j, want, 0)
+    price, sent = [0] * len(graph), 0
+    while sent < want:
+        far = [None] * len(graph)
+        far[0], heap = 0, [(0, 0)]
+        while heap:
+            x, u = heapq.heappop(heap)
+            if x > far[u]:
+                continue
+            if u == 1:
+                break
+            for e in graph[u]:
+                if cap[e]:
+                    v, y = to[e], x + cost[e] + price[u] - price[to[e]]
+                    if far[v] is None or y < far[v]:
+                        far[v] = y
+                        heapq.heappush(heap, (y, v))
+        price = [p + (far[1] if x is None else min(x, far[1])) for p, x in zip(price, far)]
+        while True:
+            level, queue = [-1] * len(graph), [0]
+            level[0] = 0
+            for u in queue:
+                for e in graph[u]:
+                    v = to[e]
+                    if cap[e] and level[v] < 0 and cost[e] + price[u] == price[v]:
+                        level[v] = level[u] + 1
+                        queue.append(v)
+            if level[1] < 0:
+                break
+            at, path, u = [0] * len(graph), [], 0
+            while True:
+                if u == 1:
+                    push = min(cap[e] for e in path)
+                    for e in path:
+                        cap[e] -= push
+                        cap[e ^ 1] += push
+                    sent, path, u = sent + push, [], 0
+                while at[u] < len(graph[u]):
+                    e = graph[u][at[u]]
+                    if cap[e] and level[to[e]] == level[u] + 1 and cost[e] + price[u] == price[to[e]]:
+                        break
+                    at[u] += 1
+                else:
+                    if u == 0:
+                        break
+                    u = to[path.pop() ^ 1]
+                    at[u] += 1
+                    continue
+                path.append(e)
+                u = to[e]
+    pairs = []
+    for hub in range(first_right + len(right), len(graph)):
+        come = [[to[e] - 2, cap[e ^ 1] if e & 1 == 0 else cap[e]] for e in graph[hub] if to[e] < first_right]
+        go = [[to[e] - first_right, cap[e ^ 1]] for e in graph[hub] if to[e] >= first_right]
+        come, go = [x for x in come if x[1]], [x for x in go if x[1]]
+        while come and go:
+            n = min(come[-1][1], go[-1][1])
+            pairs.append((come[-1][0], go[-1][0], n))
+            for side in (come, go):
+                side[-1][1] -= n
+                if not side[-1][1]:
+                    side.pop()
+    return pairs
+
+
+def _pair_values(fields: list[str], columns: list[str]):
+    """The leftovers of one key, one row per value with a signed count, paired at the least total by ``transport``."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        values = pdf[fields].astype(object).where(pdf[fields].notna(), None)
+        rows = sorted(zip(map(tuple, values.to_numpy()), pdf["__n"].astype(int)), key=lambda r: [(x is not None, x if x is not None else 0) for x in r[0]])
+        left, right = [r for r in rows if r[1] > 0], [(v, -n) for v, n in rows if n < 0]
+        pairs = transport([v for v, _ in left], [v for v, _ in right], [n for _, n in left], [n for _, n in right])
+        more_l, more_r = [n for _, n in left], [n for _, n in right]
+        for i, j, n in pairs:
+            more_l[i] -= n
+            more_r[j] -= n
+        pairs += [(i, None, n) for i, n in enumerate(more_l) if n] + [(None, j, n) for j, n in enumerate(more_r) if n]
+        keys = [pdf[c].iloc[0] for c in columns if c.startswith("__k")]
+        none = (None,) * len(fields)
+        out = [(*keys, *(none if i is None else left[i][0]), *(none if j is None else right[j][0]), i is not None, j is not None, n) for i, j, n in pairs]
+        return pd.DataFrame(out, columns=columns)
+
+    return run
 
 
 def compare_copies(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], *, exact_group_rows: int = EXACT_GROUP_ROWS) -> DataFrame:
@@ -165,7 +246,7 @@ def compare_copies(left: DataFrame, right: DataFrame, keys: list[str], fields: l
     exact = many.where(F.col("__rows") <= exact_group_rows).drop("__rows").groupBy(*k).applyInPandas(_pair_group(v, columns), schema)
     pairs = simple.unionByName(exact)
     if not busy.where(F.col("__rows") > exact_group_rows).isEmpty():
-        pairs = pairs.unionByName(_by_fields(many.where(F.col("__rows") > exact_group_rows).drop("__rows"), k, v))
+        pairs = pairs.unionByName(many.where(F.col("__rows") > exact_group_rows).drop("__rows").groupBy(*k).applyInPandas(_pair_values(v, columns), schema))
     diff = F.when(~F.col("__inr"), F.array(F.lit(LEFT_ONLY))).when(~F.col("__inl"), F.array(F.lit(RIGHT_ONLY))).otherwise(
         F.filter(F.array(*[F.when(~F.col(f"__l{i}").eqNullSafe(F.col(f"__r{i}")), F.lit(name)) for i, name in enumerate(fields)]), lambda x: x.isNotNull())
     )

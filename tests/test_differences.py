@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerquarry.operators.differences import assign, compare_copies, latest_per_key
+from ledgerquarry.operators.differences import assign, compare_copies, latest_per_key, transport
 from pyspark.sql import functions as F
 
 SCHEMA = "k string, a bigint, b string, diff string"
@@ -36,6 +36,29 @@ def test_large_keys_give_the_same_counts(spark):
     assert sum(v for k, v in exact.items() if k in "ab") <= sum(v for k, v in spread.items() if k in "ab")
 
 
+def test_large_keys_pair_at_least_cost(spark):
+    left = spark.createDataFrame([("k", 1, "A", ""), ("k", 1, "D", ""), (None, 5, None, "")] * 3, SCHEMA)
+    right = spark.createDataFrame([("k", 1, "C", ""), ("k", 3, "A", ""), (None, 6, None, "")] * 3, SCHEMA)
+    got = rows(compare_copies(left, right, ["k"], ["a", "b"], exact_group_rows=1).select("k", "diff", "n"))
+    assert got == sorted([("k", "a", 3), ("k", "b", 3), (None, "a", 3)], key=str)
+
+
+@given(st.integers(1, 3), st.integers(0, 10_000))
+@settings(max_examples=60, deadline=None)
+def test_transport_is_least(d, seed):
+    rng = np.random.default_rng(seed)
+    l, r = ([tuple(map(int, x)) for x in {tuple(y) for y in rng.integers(0, 4, size=(rng.integers(1, 9), d)).tolist()}] for _ in "lr")
+    r = [x for x in r if x not in l]
+    n, m = [int(x) for x in rng.integers(1, 4, len(l))], [int(x) for x in rng.integers(1, 4, len(r))]
+    got = transport(l, r, n, m)
+    differ = lambda a, b: sum(x != y for x, y in zip(a, b))
+    assert all(sum(c for i, _, c in got if i == k) <= n[k] for k in range(len(l))) and all(sum(c for _, j, c in got if j == k) <= m[k] for k in range(len(r)))
+    a, b = sorted([[x for x, c in zip(l, n) for _ in range(c)], [x for x, c in zip(r, m) for _ in range(c)]], key=len)
+    cost = np.array([[differ(x, y) for y in b] for x in a], dtype=float).reshape(len(a), len(b))
+    assert sum(c for *_, c in got) == len(a)
+    assert sum(c * differ(l[i], r[j]) for i, j, c in got) == (sum(cost[i, j] for i, j in assign(cost)) if a else 0)
+
+
 def test_empty(spark):
     empty, one = spark.createDataFrame([], SCHEMA), spark.createDataFrame([("1", 1, "x", "")], SCHEMA)
     assert rows(compare_copies(empty, empty, ["k"], ["a", "b"])) == []
