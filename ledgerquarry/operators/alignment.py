@@ -2,7 +2,8 @@
 
 Pairs are taken from the highest score down; ties go to the earlier known line, then the earlier read line. This equals
 the greedy assignment over all pairs of a document and needs no matrix: each round takes every pair that is the best of
-both its sides, which are all pairs a greedy pass would take before touching either side.
+both its sides, which are all pairs a greedy pass would take before touching either side. Lines that score alike with
+all lines left stand for each other: equal lines of both sides pair by their ordinals in one round.
 
 Defined cases: lines without partner stay unpaired; null descriptions score 0; empty sides give no pairs; repeated lines
 are lines of their own (``line_no`` must tell them apart).
@@ -10,26 +11,35 @@ are lines of their own (``line_no`` must tell them apart).
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerquarry.runtime import cut
 
 
-def greedy_pairs(pairs: DataFrame, group: str, left: str, right: str, score: str, *, max_rounds: int = 100) -> DataFrame:
-    """(group, left, right, score): a one-to-one choice among scored pairs, best first. Every round is two aggregations
-    and joins on the cluster; the rounds needed are the longest chain of contention."""
+def greedy_pairs(pairs: DataFrame, group: str, left: str, right: str, score: str) -> DataFrame:
+    """(group, left, right, score): a one-to-one choice among scored pairs, best first. Every round is some aggregations,
+    windows and joins on the cluster; the rounds needed are the longest chain of contention among unequal lines. Every
+    round takes a pair, so it ends when none is left."""
     rest = cut(pairs.select(group, left, right, score).where(F.col(score).isNotNull()).distinct())
     chosen = None
-    for _ in range(max_rounds):
-        rank = F.struct(-F.col(score), F.col(left), F.col(right))
-        of_left = rest.groupBy(group, left).agg(F.min_by(right, rank).alias("__r"))
-        of_right = rest.groupBy(group, right).agg(F.min_by(left, rank).alias("__l"))
-        both = rest.join(of_left, [group, left]).where(F.col("__r") == F.col(right)).join(of_right, [group, right]).where(F.col("__l") == F.col(left))
-        taken = cut(both.select(group, left, right, score))
-        if taken.isEmpty():
+    alike = lambda one, other: rest.groupBy(group, one).agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct(other, score)))), 256).alias(f"__{one}_class"))
+    for taken_rounds in itertools.count(1):
+        if rest.isEmpty():
             break
+        # Place of a line among its like, and of a pair in the order of either line; a chain of pairs that stand at the
+        # same place in all four, from the first on, is what a greedy pass takes of these lines.
+        of_left, of_right = (alike(a, b).withColumn(f"__{a}_place", F.row_number().over(W.partitionBy(group, f"__{a}_class").orderBy(a))) for a, b in ((left, right), (right, left)))
+        by_left, by_right = W.partitionBy(group, left).orderBy(F.desc(score), right), W.partitionBy(group, right).orderBy(F.desc(score), left)
+        ranked = rest.withColumns({"__k": F.row_number().over(by_left), "__m": F.row_number().over(by_right)}).where("__k = __m")
+        placed = ranked.join(of_left, [group, left]).join(of_right, [group, right]).where((F.col(f"__{left}_place") == F.col("__k")) & (F.col(f"__{right}_place") == F.col("__k")))
+        chain = W.partitionBy(group, f"__{left}_class", f"__{right}_class").orderBy("__k")
+        taken = cut(placed.withColumn("__n", F.row_number().over(chain)).where("__n = __k").select(group, left, right, score))
         chosen = taken if chosen is None else chosen.unionByName(taken)
+        chosen = cut(chosen) if taken_rounds % 20 == 0 else chosen
         rest = cut(rest.join(taken.select(group, left), [group, left], "left_anti").join(taken.select(group, right), [group, right], "left_anti"))
     return chosen if chosen is not None else rest.where("false")
 

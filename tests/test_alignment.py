@@ -30,3 +30,9 @@ def test_lines_and_packets(spark):
     truth = spark.createDataFrame([("a", [1, 2]), ("a", [3]), ("b", [1]), ("c", [1])], "f string, p array<int>")
     found = spark.createDataFrame([("a", [3]), ("a", [2, 1]), ("b", [1, 2])], "f string, p array<int>")
     assert {r.f: r.exact for r in alignment.exact_packets(truth, found, "f", "p").collect()} == {"a": True, "b": False, "c": False}
+
+
+def test_many_equal_lines_all_pair(spark):
+    rows = [(1, a, b, 0.9) for a in range(110) for b in range(110)] + [(1, a, 200, 0.95) for a in (3, 4)]
+    df = spark.createDataFrame(rows, "g int, a int, b int, s double")
+    assert sorted(tuple(r) for r in alignment.greedy_pairs(df, "g", "a", "b", "s").collect()) == greedy(rows)
