@@ -108,6 +108,11 @@ def numeric_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("read_id", T.parse_day(F.col("date")).cast("string").alias("day"))
 
 
+def printed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day printed on every reading, in any form ``parse_day`` reads; null where there is none."""
+    return table(spark, sf_dir, "model_read").select("read_id", T.parse_day(F.col("date")).cast("string").alias("day"))
+
+
 def date_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "model_read")
     return r.select("read_id", T.order_evidence(F.concat_ws(" ", "date", "due_date", "delivery_date")).alias("proof"))
@@ -221,7 +226,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         goods_owed, paperwork_owed, invoiced_not_received, money_owed, register_totals, register_recall, largest_open, stated_order_lines, canonical_keys, parsed_money, parsed_numbers,
-        numeric_days, date_order, total_checks, text_copies, repeated_documents, statement_missing, statement_agreed, statement_not_listed, page_groups, title_types, document_titles,
+        numeric_days, printed_days, date_order, total_checks, text_copies, repeated_documents, statement_missing, statement_agreed, statement_not_listed, page_groups, title_types, document_titles,
         text_shapes, digit_share, confidence_bands, score_tallies, field_json, ubl_headers, ubl_lines,
     )
 }

@@ -119,3 +119,17 @@ def test_core_does_not_import_llm():
 
     root = pathlib.Path(grids.__file__).resolve().parents[1]
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and re.search(r"\bllm\b", p.read_text())]
+
+
+def test_printed_days_of_every_reading(spark, tmp_path):
+    from datetime import date, timedelta
+
+    from ledgerquarry.plans.paperwork_queries import QUERIES
+
+    rows = [(None, None), ("", None), ("soon", None), ("31/02/2026", None)]
+    for i in range(40):
+        d = date(2026, 1, 3) + timedelta(days=9 * i)
+        month = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"][d.month - 1]
+        rows += [(t, str(d)) for t in (f"{d}", f"{d.day}/{d.month}/{d.year}", f"{d.day:02}.{d.month:02}.{d.year % 100}", f"Issued {d.day}-{d.month}-{d.year} at noon", f"{d.day} {month} {d.year}", f"{month[:3]} {d.day}, {d.year}", f"dated {d.day}th {month.upper()} {d.year}")]
+    spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "read_id bigint, date string").write.parquet(str(tmp_path / "model_read.parquet"))
+    assert {r.read_id: r.day for r in QUERIES["printed_days"](spark, str(tmp_path)).collect()} == {i: day for i, (_, day) in enumerate(rows)}
