@@ -1,19 +1,25 @@
-"""Session helpers: table loading, lineage cuts and size-checked broadcasts."""
+"""Session helpers: table loading, lineage cuts, size-checked broadcasts and joins that stand hot keys."""
 
 from __future__ import annotations
 
+import atexit
+import itertools
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
 
 
 _shipped: set[str] = set()
+_cut_apps: set[str] = set()
+_own_dirs: dict[str, str] = {}
+_serial = itertools.count(1)
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -38,26 +44,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, a laptop) a temporary folder is chosen once per context.
+    Only a local session, whose executor is the driver, may go without: it gets a temporary folder, removed at exit. On a
+    cluster a missing setting is an error, since a machine's own disk would be lost with the machine.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(named)
         return named
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-checkpoint-"))
-        current = sc._jsc.sc().getCheckpointDir()
-    return current.get()
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if sc.applicationId not in _own_dirs:
+        folder = tempfile.mkdtemp(prefix="quarry-shared-")
+        atexit.register(shutil.rmtree, folder, True)
+        _own_dirs[sc.applicationId] = folder
+    return _own_dirs[sc.applicationId]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder; survives the loss of executors."""
-    ship_package(df.sparkSession)
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: ``df`` is written to a table in the shared folder and read back.
+
+    The table survives the loss of executors, is columnar, so later steps read only the columns they need, and gives
+    Catalyst its true size. Column names must differ without regard to case. The tables of an application are removed
+    by ``drop_cuts`` or when Python ends.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_dir(spark)}/quarry-{app}"
+    if app not in _cut_apps:
+        _cut_apps.add(app)
+        atexit.register(drop_cuts, spark)
+    path = f"{folder}/{next(_serial):06d}"
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Remove every table ``cut`` wrote in this application; frames that read them are void afterwards."""
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quarry-{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session is gone: what is left lies in the shared folder
+        pass
+
+
+#: A key with more than a thousandth of all rows is hot. So there are under a thousand hot keys, whatever the data.
+HOT_SHARE = 1000
+
+
+def hot_keys(counts: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """The hot keys of ``counts`` (keys, n), which has one row per key: at most ``HOT_SHARE`` rows, so they may be
+    broadcast. ``counts`` is read twice and should be written."""
+    total = counts.agg(F.coalesce(F.sum(n), F.lit(0))).collect()[0][0]
+    return counts.where(F.col(n) * HOT_SHARE >= F.lit(max(total, HOT_SHARE))).select(*keys)
+
+
+def join_spread(rows: DataFrame, entries: DataFrame, keys: list[str], hot: DataFrame, spread: Column, salts: int = 64) -> DataFrame:
+    """Inner join of ``rows`` with ``entries`` (one row per key) in which the rows of a hot key are spread over ``salts``
+    partitions by ``spread``, and its entry is repeated for each. One shuffle of either side; null keys join nothing."""
+    marked = F.broadcast(hot.select(*[F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)], F.lit(True).alias("__hot")))
+    meets = lambda d: [d[k] == F.col(f"__h{i}") for i, k in enumerate(keys)]
+    drop = [f"__h{i}" for i in range(len(keys))]
+    left = rows.join(marked, meets(rows), "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("__hot", *drop)
+    every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = entries.join(marked, meets(entries), "left").withColumn("__salt", F.explode(every)).drop("__hot", *drop)
+    return left.join(right, [*keys, "__salt"]).drop("__salt")
 
 
 def estimated_bytes(df: DataFrame) -> int:
