@@ -11,6 +11,8 @@ reference missing.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,20 +36,32 @@ def find_orphans(refs: DataFrame, lifetimes: DataFrame, at: str) -> DataFrame:
     return refs.join(known, "ref_key", "left").withColumn("reason", reason).where(F.col("reason").isNotNull()).drop("first_seen", "all_gone", "__known")
 
 
-def cascade(direct: DataFrame, edges: DataFrame, *, max_depth: int = 50) -> DataFrame:
+def cascade(direct: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes orphaned directly (depth 0) or through a parent (depth of the shortest chain).
 
     ``direct``: node ids, ``edges``: (node, parent). Each level is one semi-join of the edges with the last level and an
-    anti-join with what is known; lineage is cut in the shared folder. Cycles end because no node is taken twice.
+    anti-join with what is known, until a level is empty; lineage is cut in the shared folder. No node is taken twice, so
+    cycles end and there are at most as many levels as the longest chain.
     """
     node_type = dict(edges.dtypes)["node"]
-    known = cut(direct.select(F.col("node").cast(node_type).alias("node")).where("node is not null").distinct().withColumn("depth", F.lit(0)))
-    links = edges.where("node is not null and parent is not null").distinct()
-    last = known
-    for depth in range(1, max_depth + 1):
+    links = cut(edges.where("node is not null and parent is not null").distinct())
+    known = last = cut(direct.select(F.col("node").cast(node_type).alias("node")).where("node is not null").distinct().withColumn("depth", F.lit(0)))
+    for depth in itertools.count(1):
         found = links.join(last.select(F.col("node").alias("parent")), "parent", "left_semi").select("node").distinct()
         last = cut(found.join(known, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if last.isEmpty():
-            break
+            return known
         known = known.unionByName(last)
-    return known
+        known = cut(known) if depth % 10 == 0 else known
+
+
+def orphan_report(direct: DataFrame, edges: DataFrame, nodes: DataFrame, node: str, field: str) -> DataFrame:
+    """Direct and inherited orphans in one table: the rows of ``direct`` (with ``node``, ``field_name``, ``ref_key``,
+    ``reason``, ``period``) at depth 0, and for every record that hangs on an orphaned one a row with reason
+    ``inherited``, the ``field`` it hangs by, an empty key and the ``period`` of ``nodes``."""
+    direct = cut(direct.select(node, "field_name", "ref_key", "reason", "period"))
+    depths = cascade(direct.select(F.col(node).alias("node")), edges)
+    inherited = depths.where("depth > 0").join(nodes.select(F.col(node).alias("node"), "period").dropDuplicates(["node"]), "node").select(
+        F.col("node").alias(node), F.lit(field).alias("field_name"), F.lit("").alias("ref_key"), F.lit("inherited").alias("reason"), "period", "depth"
+    )
+    return direct.withColumn("depth", F.lit(0)).unionByName(inherited)
