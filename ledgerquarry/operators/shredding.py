@@ -1,13 +1,17 @@
-"""Deeply nested records to flat tables, by columnar shredding.
+"""Deeply nested records to related flat tables, by columnar shredding along a schema.
 
-A record is turned into one column per leaf path; each entry holds the value with its repetition level (at which
-ancestor a new element begins) and its definition level (how much of the path exists). The table of every repeated
-ancestor is rebuilt from those two level sequences alone: an element of level k begins where repetition <= k and
-definition >= k, and its position is a running count that starts anew where an outer element begins.
+A schema is a tree of repeated nodes with leaves (``Node``), which says for each format where they lie. A record becomes
+one column per leaf path. Each entry of a column holds the value with its repetition level (the depth at which a new
+element begins; 0 for a new record) and its definition level (how much of the path exists: a node at depth j takes two
+steps, 2j - 1 for a place in the list and 2j for an element that is not null; the leaf takes one more). Leaves of one node
+differ in the last step only and share the rest. The table of a repeated node is rebuilt from its leaves' levels alone: an
+element of depth j begins where the repetition is at most j and the definition at least 2j - 1, and its position is the
+count of such entries since an outer element began. Only the nodes and leaves asked for are shredded.
 
 Defined cases: null or broken payloads give no rows; absent, null and empty levels give no elements; a bare object
 stands for an array of one; a value that is JSON text once more is read through; null elements of an array keep their
-place but give no row; namespaces and prefixes of XML are ignored; missing keys are ''.
+place but give no row; namespaces and prefixes of XML are ignored; an absent or empty leaf is null; objects in a leaf's
+place are given as JSON text.
 """
 
 from __future__ import annotations
@@ -15,195 +19,286 @@ from __future__ import annotations
 import json
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "node_kind string, node_path string, node_key string"
-#: Repeated levels below the record, outermost first, with the name of the leaf that identifies an element.
-LEVELS = ("document", "line", "delivery", "lot")
-JSON_CHILD = {"document": "lines", "line": "deliveries", "delivery": "lots"}
-JSON_KEY = {"line": "sku", "delivery": "docket", "lot": "heat"}
-
-
-class Element:
-    """One element of the generic tree: its key leaf and its child elements, None for a null that keeps its place."""
-
-    __slots__ = ("children", "key")
-
-    def __init__(self, key: str, children: list[Element | None]):
-        self.key, self.children = key, children
-
-
-def _opened(value):
-    """Reads JSON text given as a value, any number of times."""
-    while isinstance(value, str):
-        text = value.strip()
-        if text[:1] not in ("{", "["):
-            return None
+Path = tuple[str, ...]
+
+
+@dataclass(frozen=True)
+class Node:
+    """A repeated node: where its elements lie in JSON and in XML (steps from the parent element, several ways allowed; no
+    way means the format has none), and its leaves with theirs. A step '@x' is an attribute, '.' the element's own name."""
+
+    name: str
+    json: tuple[Path, ...] = ()
+    xml: tuple[Path, ...] = ()
+    leaves: dict[str, tuple[tuple[Path, ...], tuple[Path, ...]]] = field(default_factory=dict, hash=False)
+    children: tuple[Node, ...] = ()
+
+    def walk(self, above: tuple[Node, ...] = ()) -> Iterator[tuple[Node, ...]]:
+        yield (*above, self)
+        for c in self.children:
+            yield from c.walk((*above, self))
+
+
+def _at(*steps: str) -> tuple[Path, ...]:
+    return (steps,)
+
+
+_PARTY = ("Party", "PartyLegalEntity", "RegistrationName")
+#: The schema of ``raw_record``: documents, their lines, deliveries and lots; sources, pages and checks of JSON readings.
+PAPERWORK = Node(
+    "document", (("documents",), ()), ((),),
+    {
+        "doc_type": (_at("doc_type"), _at(".")), "status": (_at("status"), ()), "doc_number": (_at("fields", "doc_number"), _at("ID")),
+        "date": (_at("fields", "date"), _at("IssueDate")), "supplier_name": (_at("fields", "supplier_name"), (("AccountingSupplierParty", *_PARTY),)),
+    },
+    (
+        Node(
+            "line", _at("lines"), (("InvoiceLine",), ("CreditNoteLine",)),
+            {
+                "sku": (_at("sku"), _at("Item", "SellersItemIdentification", "ID")), "description": (_at("description"), _at("Item", "Name")),
+                "quantity": (_at("quantity"), (("InvoicedQuantity",), ("CreditedQuantity",))), "unit": (_at("unit"), (("InvoicedQuantity", "@unitCode"), ("CreditedQuantity", "@unitCode"))),
+                "unit_price": (_at("unit_price"), _at("Price", "PriceAmount")), "amount": (_at("amount"), _at("LineExtensionAmount")),
+            },
+            (
+                Node(
+                    "delivery", _at("deliveries"), _at("Delivery"), {"docket": (_at("docket"), _at("ID")), "date": (_at("date"), _at("ActualDeliveryDate"))},
+                    (Node("lot", _at("lots"), _at("Shipment", "GoodsItem"), {"heat": (_at("heat"), _at("Item", "ItemInstance", "LotIdentification", "LotNumberID")), "qty": (_at("qty"), _at("Quantity"))}),),
+                ),
+            ),
+        ),
+        Node("source", _at("sources"), (), {"file": (_at("file"), ())}, (Node("page", _at("pages"), (), {"page": (((),), ())}),)),
+        Node("check", _at("checks"), (), {"name": (_at("name"), ()), "kind": (_at("kind"), ()), "passed": (_at("passed"), ())}),
+    ),
+)
+
+
+def opened(value):
+    """Reads JSON text given as a value, any number of times; other text stays."""
+    while isinstance(value, str) and value.lstrip()[:1] in ("{", "["):
         try:
-            value = json.loads(text)
+            value = json.loads(value)
         except ValueError:
-            return None
+            break
     return value
 
 
-def _json_elements(value, level: int) -> list[Element | None]:
-    value = _opened(value)
-    items = value if isinstance(value, list) else [value]
-    out: list[Element | None] = []
-    for item in items:
-        item = _opened(item) if isinstance(item, str) else item
-        if not isinstance(item, dict):
-            out.append(None)
-            continue
-        kind = LEVELS[level]
-        key = item.get(JSON_KEY.get(kind, ""))
-        key = "" if key is None or isinstance(key, (dict, list)) else key if isinstance(key, str) else json.dumps(key)
-        out.append(Element(key, _json_elements(item.get(JSON_CHILD[kind]), level + 1) if kind in JSON_CHILD else []))
-    while out and out[-1] is None:
-        out.pop()
-    return out
-
-
-def json_tree(payload: str) -> list[Element | None]:
-    value = json.loads(payload)
-    value = _opened(value) if isinstance(value, str) else value
-    if isinstance(value, dict) and "documents" in value:
-        return _json_elements(value["documents"], 0)
-    return _json_elements(value, 0) if isinstance(value, (dict, list)) else []
-
-
-def _local(e: ET.Element) -> str:
-    return e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
-
-
-def _inside(e: ET.Element, *path: str) -> list[ET.Element]:
-    found = [e]
-    for name in path:
-        found = [c for x in found for c in x if _local(c) == name]
-    return found
-
-
-def _text(e: ET.Element, *path: str) -> str:
-    return next((x.text.strip() for x in _inside(e, *path) if x.text and x.text.strip()), "")
-
-
-def xml_tree(payload: str) -> list[Element | None]:
-    root = ET.fromstring(payload)
-    line_name = {"Invoice": "InvoiceLine", "CreditNote": "CreditNoteLine"}.get(_local(root))
-    if line_name is None:
+class JsonReader:
+    """Elements and leaves of parsed JSON."""
+
+    def __init__(self, payload: str):
+        self.root = opened(json.loads(payload))
+
+    @staticmethod
+    def roots(node: Node, root) -> list:
+        if isinstance(root, dict) and node.json and node.json[0] and node.json[0][0] in root:
+            return JsonReader._listed(root[node.json[0][0]], False)
+        return JsonReader._listed(root, False)
+
+    @staticmethod
+    def _listed(value, scalars: bool) -> list:
+        value = opened(value)
+        items = value if isinstance(value, list) else [] if value is None else [value]
+        items = [opened(x) for x in items]
+        items = [x if isinstance(x, dict) or (scalars and x is not None) else None for x in items]
+        while items and items[-1] is None:
+            items.pop()
+        return items
+
+    @staticmethod
+    def elements(node: Node, element) -> list:
+        for path in node.json:
+            value = element
+            for step in path:
+                value = opened(value)
+                value = value.get(step) if isinstance(value, dict) else None
+            if value is not None:
+                return JsonReader._listed(value, any(p == () for p in sum((js for js, _ in node.leaves.values()), ())))
         return []
-    lines: list[Element | None] = []
-    for line in _inside(root, line_name):
-        deliveries: list[Element | None] = []
-        for delivery in _inside(line, "Delivery"):
-            lots: list[Element | None] = [Element(_text(g, "Item", "ItemInstance", "LotIdentification", "LotNumberID"), []) for g in _inside(delivery, "Shipment", "GoodsItem")]
-            deliveries.append(Element(_text(delivery, "ID"), lots))
-        lines.append(Element(_text(line, "Item", "SellersItemIdentification", "ID"), deliveries))
-    return [Element("", lines)]
-
 
-def shred(tree: list[Element | None]) -> dict[int, tuple[list[int], list[int], list[str]]]:
-    """Per level 1..3 the leaf column of its key: repetition levels, definition levels, values.
-
-    Levels count the record as 0, documents as 1, lines as 2, deliveries as 3 and lots as 4. A column of level k has an
-    entry for every deepest existing ancestor; definition tells how far the path exists.
-    """
-    columns: dict[int, tuple[list[int], list[int], list[str]]] = {k: ([], [], []) for k in (2, 3, 4)}
-
-    def put(k: int, r: int, d: int, value: str) -> None:
-        for sequence, x in zip(columns[k], (r, d, value)):
-            sequence.append(x)
-
-    def walk(elements: list[Element | None], depth: int, r: int) -> None:
+    @staticmethod
+    def leaf(paths: tuple[tuple[Path, ...], tuple[Path, ...]], element) -> str | None:
+        for path in paths[0]:
+            value = element
+            for step in path:
+                value = opened(value) if isinstance(value, str) else value
+                value = value.get(step) if isinstance(value, dict) else None
+            if value is not None and value != "":
+                return value if isinstance(value, str) else json.dumps(value)
+        return None
+
+
+def _local(tag) -> str:
+    return tag.rpartition("}")[2] if isinstance(tag, str) else ""
+
+
+class XmlReader:
+    """Elements and leaves of parsed XML; the root is the one document."""
+
+    ROOTS = ("Invoice", "CreditNote")
+
+    def __init__(self, payload: str):
+        self.root = ET.fromstring(payload)
+
+    @staticmethod
+    def roots(node: Node, root) -> list:
+        return [root] if _local(root.tag) in XmlReader.ROOTS else []
+
+    @staticmethod
+    def _inside(element, path: Path) -> list:
+        found = [element]
+        for step in path:
+            found = [c for x in found for c in x if _local(c.tag) == step]
+        return found
+
+    @staticmethod
+    def elements(node: Node, element) -> list:
+        return next((found for path in node.xml if (found := XmlReader._inside(element, path))), [])
+
+    @staticmethod
+    def leaf(paths: tuple[tuple[Path, ...], tuple[Path, ...]], element) -> str | None:
+        for path in paths[1]:
+            if path == (".",):
+                return _local(element.tag)
+            attribute = path[-1][1:] if path and path[-1].startswith("@") else None
+            for x in XmlReader._inside(element, path[:-1] if attribute else path):
+                text = x.get(attribute, "") if attribute else x.text or ""
+                if text.strip():
+                    return text.strip()
+        return None
+
+
+class Columns:
+    """The columns of one node's wanted leaves: repetition, definition without the leaf's own step, and the values."""
+
+    def __init__(self, chain: tuple[Node, ...], leaves: list[str]):
+        self.chain, self.node, self.depth = chain, chain[-1], len(chain)
+        self.paths = [self.node.leaves[x] for x in leaves]
+        self.record: list[int] = []
+        self.rep: list[int] = []
+        self.dfn: list[int] = []
+        self.values: list[list[str | None]] = [[] for _ in leaves]
+
+    def put(self, n: int, r: int, d: int, reader=None, element=None) -> None:
+        self.record.append(n)
+        self.rep.append(r)
+        self.dfn.append(d)
+        for column, path in zip(self.values, self.paths):
+            column.append(None if element is None else reader.leaf(path, element))
+
+
+def _plan(root: Node, wanted: dict[str, list[str]]) -> tuple[dict[str, Columns], dict[str, list[Node]], dict[str, list[str]]]:
+    """Columns of the wanted nodes; per node the children that lead to wanted ones, and the wanted nodes from it down."""
+    columns = {chain[-1].name: Columns(chain, wanted[chain[-1].name]) for chain in root.walk() if chain[-1].name in wanted}
+    below = {chain[-1].name: [c[-1].name for c in chain[-1].walk() if c[-1].name in wanted] for chain in root.walk()}
+    return columns, {chain[-1].name: [c for c in chain[-1].children if below[c.name]] for chain in root.walk()}, below
+
+
+def shred(root: Node, n: int, reader, plan) -> None:
+    """Put record ``n`` into the columns: every wanted node gets an entry for the deepest part of its path that exists."""
+    columns, children, below = plan
+
+    def walk(node: Node, elements: list, depth: int, r: int, d: int) -> None:
         if not elements:
-            for k in range(max(2, depth), 5):
-                put(k, r, depth - 1, "")
+            for name in below[node.name]:
+                columns[name].put(n, r, d)
             return
         for e in elements:
-            if e is None:  # holds its place in the parent's sequence: it exists, but has no value and no children
-                for k in range(max(2, depth), 5):
-                    put(k, r, -depth, "")
+            if e is None:
+                for name in below[node.name]:
+                    columns[name].put(n, r, 2 * depth - 1)
             else:
-                if depth >= 2:
-                    put(depth, r, depth, e.key)
-                if depth < 4:
-                    walk(e.children, depth + 1, r)
+                if node.name in columns:
+                    columns[node.name].put(n, r, 2 * depth, reader, e)
+                for child in children[node.name]:
+                    walk(child, reader.elements(child, e), depth + 1, r, 2 * depth)
             r = depth
 
-    walk(tree, 1, 0)
-    return columns
+    walk(root, reader.roots(root, reader.root), 1, 0, 0)
 
 
 def _running(starts: np.ndarray, resets: np.ndarray) -> np.ndarray:
-    """1-based count of ``starts`` since the last ``resets``."""
+    """1-based count of ``starts`` since the last of ``resets``."""
     total = np.cumsum(starts)
-    before = np.where(resets, total - starts, -1)
-    return total - np.maximum.accumulate(before)
-
-
-def rebuild(columns: dict[int, tuple[list[int], list[int], list[str]]], records: dict[int, list[int]]) -> list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each level: its kind, the record of each element, its path and its key, from the level sequences alone."""
-    out = []
-    for k, (rep, dfn, values) in columns.items():
-        if not rep:
-            continue
-        r, d0, v, rec = np.asarray(rep), np.asarray(dfn), np.asarray(values, dtype=object), np.asarray(records[k])
-        d, here = np.abs(d0), d0 == k
-        first = np.empty(len(r), dtype=bool)
-        first[0], first[1:] = True, rec[1:] != rec[:-1]
-        parts = []
-        for level in range(1, k + 1):
-            starts = ((r <= level) & (d >= level)).astype(np.int64)
-            resets = first | (r < level)
-            parts.append(_running(starts, resets)[here].astype(str).astype(object))
-        path = parts[1] if k < 2 else parts[0]
-        for p in parts[1:]:
-            path = path + "." + p
-        out.append((LEVELS[k - 1], rec[here], path, v[here]))
-    return out
-
-
-def shred_batches(id_col: str, id_out: str):
+    return total - np.maximum.accumulate(np.where(resets, total - starts, -1))
+
+
+def rebuild(c: Columns) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Record, path and leaf values of every element, from the levels alone."""
+    r, d, record = np.asarray(c.rep, dtype=np.int64), np.asarray(c.dfn, dtype=np.int64), np.asarray(c.record, dtype=np.int64)
+    here = d >= 2 * c.depth
+    path = None
+    for level in range(1, c.depth + 1):
+        starts = ((r <= level) & (d >= 2 * level - 1)).astype(np.int64)
+        part = _running(starts, r < level)[here].astype(str).astype(object)
+        path = part if path is None else path + "." + part
+    return record[here], path, [np.asarray(v, dtype=object)[here] for v in c.values]
+
+
+def shred_batches(root: Node, wanted: dict[str, dict[str, str]], id_col: str, out_columns: list[str]):
+    leaves = {name: list(dict.fromkeys(columns.values())) for name, columns in wanted.items()}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            columns: dict[int, tuple[list[int], list[int], list[str]]] = {k: ([], [], []) for k in (2, 3, 4)}
-            records: dict[int, list[int]] = {k: [] for k in (2, 3, 4)}
-            ids = pdf[id_col].to_numpy()
+            plan, ids = _plan(root, leaves), pdf["__id"]
             for n, (fmt, payload) in enumerate(zip(pdf["fmt"], pdf["payload"])):
                 if not isinstance(payload, str):
                     continue
-                text = payload.lstrip("﻿")
+                text = payload.lstrip("﻿ \t\r\n")
                 try:
-                    xml = fmt == "ubl_xml" if fmt in ("ubl_xml", "json") else text.lstrip()[:1] == "<"
-                    tree = xml_tree(text.lstrip()) if xml else json_tree(text)
+                    xml = fmt == "ubl_xml" if fmt in ("ubl_xml", "json") else text[:1] == "<"
+                    reader = XmlReader(text) if xml else JsonReader(text)
                 except (ValueError, ET.ParseError, RecursionError):
                     continue
-                for k, sequences in shred(tree).items():
-                    for whole, part in zip(columns[k], sequences):
-                        whole.extend(part)
-                    records[k].extend([n] * len(sequences[0]))
-            for kind, rec, path, key in rebuild(columns, records):
-                yield pd.DataFrame({id_out: ids[rec], "node_kind": kind, "node_path": path, "node_key": key})
+                shred(root, n, reader, plan)
+            for name, columns in plan[0].items():
+                if not columns.rep:
+                    continue
+                record, path, values = rebuild(columns)
+                if len(record):
+                    found = dict(zip(leaves[name], values))
+                    out = {id_col: ids.take(record).to_numpy(), "node_kind": name, "node_path": path}
+                    yield pd.DataFrame(out | {c: found[wanted[name][c]] if c in wanted[name] else None for c in out_columns})
 
     return run
 
 
-def flatten_records(df: DataFrame, id_col: str = "rec_id") -> DataFrame:
-    """One row per line, delivery and lot: the record's id, ``node_kind``, ``node_path``, ``node_key``.
+def shred_records(df: DataFrame, wanted: dict[str, dict[str, str]], id_col: str = "rec_id", schema: Node = PAPERWORK) -> DataFrame:
+    """(id, node_kind, node_path, columns...): a row for every element of the ``wanted`` nodes, {node: {column: leaf}}.
 
     ``df`` needs ``fmt`` (ubl_xml or json; otherwise told from the first character) and ``payload``. A narrow map: no
-    shuffle, one pass, whole payloads; the parent of ``1.2.3`` is ``1.2``. Records beyond the Arrow batch are streamed.
+    shuffle, one pass, whole payloads; the parent of ``1.2.3`` is ``1.2``.
     """
+    columns = list(dict.fromkeys(c for cs in wanted.values() for c in cs))
     kind = dict(df.dtypes)[id_col]
-    return df.select(F.col(id_col), "fmt", "payload").where(F.col("payload").isNotNull()).mapInPandas(shred_batches(id_col, id_col), f"`{id_col}` {kind}, {SCHEMA}")
+    rows = df.select(F.col(id_col).alias("__id"), "fmt", "payload").where(F.col("payload").isNotNull())
+    out = ", ".join([f"`{id_col}` {kind}", "node_kind string", "node_path string", *[f"`{c}` string" for c in columns]])
+    return rows.mapInPandas(shred_batches(schema, wanted, id_col, columns), out)
+
+
+def node_table(df: DataFrame, node: str, id_col: str = "rec_id", schema: Node = PAPERWORK) -> DataFrame:
+    """The flat table of one repeated node with all its leaves: id, node_path, parent_path and a column per leaf."""
+    leaves = next(c[-1].leaves for c in schema.walk() if c[-1].name == node)
+    rows = shred_records(df, {node: {x: x for x in leaves}}, id_col, schema).drop("node_kind")
+    return rows.select(id_col, "node_path", F.when(F.contains("node_path", F.lit(".")), F.regexp_replace("node_path", r"\.[0-9]+$", "")).alias("parent_path"), *leaves)
+
+
+def flatten_records(df: DataFrame, id_col: str = "rec_id") -> DataFrame:
+    """One row per line, delivery and lot: the record's id, ``node_kind``, ``node_path``, ``node_key`` ('' if none)."""
+    rows = shred_records(df, {"line": {"node_key": "sku"}, "delivery": {"node_key": "docket"}, "lot": {"node_key": "heat"}}, id_col)
+    return rows.withColumn("node_key", F.coalesce("node_key", F.lit("")))
 
 
-def parent_links(nodes: DataFrame, id_col: str = "rec_id") -> DataFrame:
+def parent_links(nodes: DataFrame, id_col: str = "rec_id", schema: Node = PAPERWORK) -> DataFrame:
     """Adds ``parent_kind`` and ``parent_path``: a line's parent is its document."""
-    cut_path = F.regexp_replace("node_path", r"\.[0-9]+$", "")
-    parent = F.when(F.col("node_kind") == "line", "document").when(F.col("node_kind") == "delivery", "line").otherwise("delivery")
-    return nodes.withColumns({"parent_kind": parent, "parent_path": cut_path})
+    parent = F.lit(None).cast("string")
+    for chain in schema.walk():
+        if len(chain) > 1:
+            parent = F.when(F.col("node_kind") == chain[-1].name, chain[-2].name).otherwise(parent)
+    return nodes.withColumns({"parent_kind": parent, "parent_path": F.regexp_replace("node_path", r"\.[0-9]+$", "")})
