@@ -19,8 +19,11 @@ def chain(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def outstanding(chains: DataFrame, keys: list[str], left: Column, right: Column) -> DataFrame:
-    """Rows where ``left`` exceeds ``right``, with the difference in thousandths."""
-    return chains.where(left > right).select(*keys, left.cast("bigint").alias("left_m"), right.cast("bigint").alias("right_m"), (left - right).cast("bigint").alias("open_m"))
+    """Rows where ``left`` exceeds ``right``, with the difference in thousandths and what it is worth: its share of the
+    order line's amount, in whole cents (null where nothing was ordered)."""
+    gap = (left - right).cast("bigint")
+    worth = F.when(F.col("ordered_m") > 0, F.expr("amt_c") * gap)
+    return chains.where(left > right).select(*keys, left.cast("bigint").alias("left_m"), right.cast("bigint").alias("right_m"), gap.alias("open_m"), F.floor(worth.cast("decimal(38,0)") / F.col("ordered_m")).cast("bigint").alias("value_c"))
 
 
 def statement_matches(entries: DataFrame, held: DataFrame, keys: list[str], how: str) -> DataFrame:
