@@ -1,6 +1,6 @@
 """All core queries and their SQL, by name."""
 
-from ledgerquarry.plans import dataset_queries, paperwork_queries
+from ledgerquarry.plans import dataset_queries, document_queries, paperwork_queries
 
-QUERIES = {**paperwork_queries.QUERIES, **dataset_queries.QUERIES}
-SQL = {**paperwork_queries.SQL, **dataset_queries.SQL}
+QUERIES = {**paperwork_queries.QUERIES, **document_queries.QUERIES, **dataset_queries.QUERIES}
+SQL = {**paperwork_queries.SQL, **document_queries.SQL, **dataset_queries.SQL}

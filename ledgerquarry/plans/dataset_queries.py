@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerquarry.functions.ids import canonical_id, digit_runs
 from ledgerquarry.functions.money import money_cents, number_cents
 from ledgerquarry.operators import differences, orphans, shredding, timestamps
-from ledgerquarry.runtime import table
+from ledgerquarry.runtime import cut, table
 
 
 def _statement_side(df: DataFrame, row_id: str, amount, closing) -> DataFrame:
@@ -65,19 +65,15 @@ def orphan_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Direct orphans (depth 0, with field, key, reason and period) and readings orphaned through the invoice they quote."""
     reads = table(spark, sf_dir, "model_read")
-    direct = orphan_references(spark, sf_dir)
     links = document_references(reads).where("field_name = 'original_invoice'").select(F.col("read_id").alias("node"), "ref_key")
     edges = links.join(invoice_numbers(reads).select("ref_key", F.col("read_id").alias("parent")), "ref_key").select("node", "parent")
-    depths = orphans.cascade(direct.select(F.col("read_id").alias("node")), edges)
-    inherited = depths.where("depth > 0").join(reads.select(F.col("read_id").alias("node"), "received_at"), "node").select(
-        F.col("node").alias("read_id"), F.lit("original_invoice").alias("field_name"), F.lit("").alias("ref_key"), F.lit("inherited").alias("reason"), F.date_format("received_at", "yyyy-MM").alias("period"), "depth"
-    )
-    return direct.select("read_id", "field_name", "ref_key", "reason", "period", F.lit(0).alias("depth")).unionByName(inherited)
+    nodes = reads.select("read_id", F.date_format("received_at", "yyyy-MM").alias("period"))
+    return orphans.orphan_report(orphan_references(spark, sf_dir), edges, nodes, "read_id", "original_invoice")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The direct orphans; TESTDATA.md's reasons name no inherited ones, which p3_cascade adds."""
-    return orphan_references(spark, sf_dir).select("read_id", "field_name", "ref_key", "reason", "period")
+    """The report's direct level; TESTDATA.md's reasons name no inherited orphans, which p3_cascade adds."""
+    return p3_cascade(spark, sf_dir).where("depth = 0").drop("depth")
 
 
 def p3_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,11 +93,26 @@ def p4_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.groupBy("node_kind", "parent_kind").agg(F.count("*").alias("n_nodes"), F.count_distinct("rec_id", "parent_path").alias("n_parents"))
 
 
+def p4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of lines with all leaves, each with its document's number and type through the parent link."""
+    wanted = {"document": {"doc_number": "doc_number", "doc_type": "doc_type"}, "line": {x: x for x in ("sku", "description", "quantity", "unit", "unit_price", "amount")}}
+    nodes = cut(shredding.parent_links(shredding.shred_records(table(spark, sf_dir, "raw_record"), wanted)))
+    documents = nodes.where("node_kind = 'document'").select("rec_id", F.col("node_path").alias("parent_path"), "doc_number", "doc_type")
+    lines = nodes.where("node_kind = 'line'").select("rec_id", "node_path", "parent_path", "sku", "description", "quantity", "unit", "unit_price", "amount")
+    return lines.join(documents, ["rec_id", "parent_path"])
+
+
+def p4_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of lots with their quantities, four levels down, each with its parent's path."""
+    return shredding.node_table(table(spark, sf_dir, "raw_record"), "lot")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timestamps.normalise(table(spark, sf_dir, "model_read"), "read_id", ["date", "due_date", "delivery_date"], "origin_zone")
+    """Through the dictionary kept in the shared folder: a second run parses only what is new."""
+    return timestamps.normalise(table(spark, sf_dir, "model_read"), "read_id", ["date", "due_date", "delivery_date"], "origin_zone", timestamps.dictionary_folder(spark))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_all_versions, p3_found, p3_cascade, p3_by_period, p4_found, p4_children, p5_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_all_versions, p3_found, p3_cascade, p3_by_period, p4_found, p4_children, p4_lines, p4_lots, p5_found)}
 
 _CENTS_TEXT = """
 CASE WHEN regexp_matches({c}, '[0-9]') THEN
@@ -156,7 +167,7 @@ _CASCADE = f"""
 WITH RECURSIVE direct AS ({_P3}),
 inv AS (SELECT unnest({_runs("doc_number", 9)}) AS ref_key, read_id AS parent FROM model_read WHERE doc_type = 'supplier_invoice'),
 edges AS (SELECT DISTINCT r.read_id AS node, inv.parent FROM (SELECT read_id, unnest({_runs("original_invoice", 9)}) AS ref_key FROM model_read) r JOIN inv USING (ref_key)),
-walk AS (SELECT DISTINCT read_id AS node, 0 AS depth FROM direct UNION SELECT e.node, w.depth + 1 FROM walk w JOIN edges e ON e.parent = w.node WHERE w.depth < 20),
+walk AS (SELECT DISTINCT read_id AS node, 0 AS depth FROM direct UNION SELECT e.node, w.depth + 1 FROM walk w JOIN edges e ON e.parent = w.node WHERE w.depth < (SELECT count(*) FROM edges)),
 least AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)
 SELECT read_id, field_name, ref_key, reason, period, 0 AS depth FROM direct
 UNION ALL SELECT l.node, 'original_invoice', '', 'inherited', strftime(m.received_at AT TIME ZONE 'UTC', '%Y-%m'), l.depth FROM least l JOIN model_read m ON m.read_id = l.node WHERE l.depth > 0

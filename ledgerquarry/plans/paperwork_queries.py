@@ -17,23 +17,17 @@ from ledgerquarry.runtime import table
 KEYS = ["po", "line_no"]
 
 
-def tagged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(po, line_no, kind, qty_m, amt_c): order lines, and the receipts, invoices and credits derived from them."""
-    kinds = F.array(
-        F.lit("order"),
-        F.when(F.col("l_linestatus") == "F", "receipt"),
-        F.when(F.col("l_returnflag").isin("A", "R"), "invoice"),
-        F.when((F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.05), "credit"),
-    )
-    rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("po"), F.col("l_linenumber").cast("int").alias("line_no"), F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kind"),
-        F.round(F.col("l_quantity") * 1000).cast("bigint").alias("qty_m"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("amt_c"),
-    )
-    return rows
-
-
 def order_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registers.chain(tagged_lines(spark, sf_dir), KEYS)
+    """(po, line_no, ordered_m, amt_c, received_m, invoiced_m, credited_m): one pass over the lines with conditional sums,
+    combined before the one shuffle."""
+    qty, amt = F.round(F.col("l_quantity") * 1000).cast("bigint"), F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    received, invoiced = F.col("l_linestatus") == "F", F.col("l_returnflag").isin("A", "R")
+    credited = (F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.05)
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(name)
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.groupBy(F.col("l_orderkey").alias("po"), F.col("l_linenumber").cast("int").alias("line_no")).agg(
+        total(qty, "ordered_m"), total(amt, "amt_c"), total(F.when(received, qty), "received_m"), total(F.when(invoiced, qty), "invoiced_m"), total(F.when(credited, qty), "credited_m")
+    )
 
 
 def goods_owed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,19 +44,25 @@ def invoiced_not_received(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def money_owed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invoice totals less credits and payments, one row per order with something left."""
-    lines = tagged_lines(spark, sf_dir)
-    cents = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("amt_c"))), F.lit(0)).cast("bigint")
-    billed = lines.groupBy("po").agg(cents("invoice").alias("invoiced_c"), cents("credit").alias("credited_c")).where("invoiced_c > 0")
+    amt = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    invoiced, credited = F.col("l_returnflag").isin("A", "R"), (F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.05)
+    cents = lambda c: F.coalesce(F.sum(F.when(c, amt)), F.lit(0)).cast("bigint")
+    billed = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("po")).agg(cents(invoiced).alias("invoiced_c"), cents(credited).alias("credited_c")).where("invoiced_c > 0")
     status = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("po"), "o_orderstatus")
     paid = F.when(F.col("o_orderstatus") == "F", F.col("invoiced_c")).when(F.col("o_orderstatus") == "P", F.expr("invoiced_c div 2")).otherwise(F.lit(0)).cast("bigint")
     out = billed.join(status, "po", "left").withColumn("paid_c", paid).withColumn("open_c", F.col("invoiced_c") - F.col("credited_c") - F.col("paid_c"))
     return out.where("open_c > 0").select("po", "invoiced_c", "credited_c", "paid_c", "open_c")
 
 
+REGISTERS = {"goods_owed": ("ordered_m", "received_m"), "paperwork_owed": ("received_m", "invoiced_m - credited_m"), "invoiced_not_received": ("invoiced_m - credited_m", "received_m")}
+
+
 def register_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and quantity of each register, in fixed order."""
-    parts = [f(spark, sf_dir).agg(F.count("*").alias("n"), F.sum("open_m").cast("bigint").alias("open_m")).select(F.lit(i).alias("place"), F.lit(f.__name__).alias("register"), "n", "open_m") for i, f in enumerate((goods_owed, paperwork_owed, invoiced_not_received))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Rows and quantity of each register, in fixed order: one aggregation over the chains, then one row per register."""
+    sums = [F.struct(F.count_if(F.expr(f"{a} > {b}")).alias("n"), F.sum(F.when(F.expr(f"{a} > {b}"), F.expr(f"{a} - ({b})"))).cast("bigint").alias("open_m")).alias(k) for k, (a, b) in REGISTERS.items()]
+    one = order_chains(spark, sf_dir).agg(*sums)
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(k).alias("register"), F.col(k)["n"].alias("n"), F.col(k)["open_m"].alias("open_m")) for i, k in enumerate(REGISTERS)]))
+    return one.select(rows.alias("r")).select("r.*")
 
 
 def register_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,12 +102,6 @@ def parsed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("read_id", "line_no", "quantity", T.parse_number(F.col("quantity")).cast("double").alias("quantity_n"))
 
 
-def numeric_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days printed year first or as numeric day and month."""
-    r = table(spark, sf_dir, "model_read").where(F.col("date").rlike(r"^(\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[/.\-]\d{1,2}[/.\-]\d{4})$"))
-    return r.select("read_id", T.parse_day(F.col("date")).cast("string").alias("day"))
-
-
 def printed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The day printed on every reading, in any form ``parse_day`` reads; null where there is none."""
     return table(spark, sf_dir, "model_read").select("read_id", T.parse_day(F.col("date")).cast("string").alias("day"))
@@ -164,7 +158,7 @@ def page_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         "read_id", "ref", "page", "doc_type", F.lit(1.0).alias("title_strength"), F.coalesce("doc_number", F.lit("")).alias("number"),
         none.cast("int").alias("page_n"), none.cast("int").alias("page_m"), none.cast("boolean").alias("continued"), none.cast("boolean").alias("continues"),
     )
-    return segments.group_pages(pages, order=[F.col("page"), F.col("read_id")]).select("read_id", "ref", "page", "segment")
+    return segments.group_pages(pages, tie="read_id").select("read_id", "ref", "page", "segment")
 
 
 def title_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,12 +167,12 @@ def title_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The type each document text calls itself, by its first rows."""
+    """The type each document text calls itself, by all its rows."""
     cells = grids.text_cells(table(spark, sf_dir, "documents"), "doc_id", "text").where(F.size("cells") > 0)
-    w = W.partitionBy("doc_id").orderBy("row_no")
-    rows = cells.withColumn("row_no", F.row_number().over(w) - 1)
+    # Rows are counted without the blank ones; a text's rows are sorted within the text.
+    rows = cells.withColumn("row_no", F.row_number().over(W.partitionBy("doc_id").orderBy("row_no")) - 1)
     flat = rows.select(F.col("doc_id"), "row_no", F.posexplode("cells").alias("cell_no", "text"))
-    return titles.classify(flat, "doc_id").select("doc_id", "doc_type", "confidence")
+    return titles.classify(flat, "doc_id").select("doc_id", "doc_type", "score")
 
 
 def text_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,21 +206,19 @@ def field_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ubl_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Header fields of the UBL payloads that end with their root element."""
-    r = table(spark, sf_dir, "raw_record").where("fmt = 'ubl_xml'").where(F.col("payload").rlike(r"</([A-Za-z0-9]+:)?(Invoice|CreditNote)>\s*$"))
-    return ubl.read_headers(r.select("rec_id", "payload"))
+    """Header fields of the payloads that are whole UBL documents."""
+    return ubl.read_headers(table(spark, sf_dir, "raw_record").select("rec_id", "payload"))
 
 
 def ubl_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "raw_record").where("fmt = 'ubl_xml'").where(F.col("payload").rlike(r"</([A-Za-z0-9]+:)?(Invoice|CreditNote)>\s*$"))
-    return ubl.read_lines(r, "rec_id")
+    return ubl.read_lines(table(spark, sf_dir, "raw_record").select("rec_id", "payload"), "rec_id")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         goods_owed, paperwork_owed, invoiced_not_received, money_owed, register_totals, register_recall, largest_open, stated_order_lines, canonical_keys, parsed_money, parsed_numbers,
-        numeric_days, printed_days, date_order, total_checks, text_copies, repeated_documents, statement_missing, statement_agreed, statement_not_listed, page_groups, title_types, document_titles,
+        printed_days, date_order, total_checks, text_copies, repeated_documents, statement_missing, statement_agreed, statement_not_listed, page_groups, title_types, document_titles,
         text_shapes, digit_share, confidence_bands, score_tallies, field_json, ubl_headers, ubl_lines,
     )
 }
@@ -234,7 +226,7 @@ QUERIES = {
 _CHAIN = """
 WITH c AS (
   SELECT l_orderkey AS po, CAST(l_linenumber AS INTEGER) AS line_no,
-         CAST(sum(q) AS BIGINT) AS ordered_m,
+         CAST(sum(q) AS BIGINT) AS ordered_m, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS amt_c,
          CAST(coalesce(sum(q) FILTER (l_linestatus = 'F'), 0) AS BIGINT) AS received_m,
          CAST(coalesce(sum(q) FILTER (l_returnflag IN ('A', 'R')), 0) AS BIGINT) AS invoiced_m,
          CAST(coalesce(sum(q) FILTER (l_returnflag = 'R' AND l_discount >= 0.05), 0) AS BIGINT) AS credited_m
@@ -243,10 +235,10 @@ WITH c AS (
 
 
 def _open(a: str, b: str) -> str:
-    return f"SELECT po, line_no, CAST({a} AS BIGINT) AS left_m, CAST({b} AS BIGINT) AS right_m, CAST(({a}) - ({b}) AS BIGINT) AS open_m FROM c WHERE ({a}) > ({b})"
+    return f"SELECT po, line_no, CAST({a} AS BIGINT) AS left_m, CAST({b} AS BIGINT) AS right_m, CAST(({a}) - ({b}) AS BIGINT) AS open_m, CAST(CASE WHEN ordered_m > 0 THEN (amt_c::HUGEINT * (({a}) - ({b}))) // ordered_m END AS BIGINT) AS value_c FROM c WHERE ({a}) > ({b})"
 
 
-_REGISTERS = {"goods_owed": ("ordered_m", "received_m"), "paperwork_owed": ("received_m", "invoiced_m - credited_m"), "invoiced_not_received": ("invoiced_m - credited_m", "received_m")}
+_REGISTERS = REGISTERS
 _MONEY = """
 WITH b AS (
   SELECT l_orderkey AS po, CAST(coalesce(sum(a) FILTER (l_returnflag IN ('A', 'R')), 0) AS BIGINT) AS invoiced_c,
@@ -266,8 +258,16 @@ def _cents(c: str) -> str:
     return f"CASE WHEN regexp_matches({c}, '[0-9]') THEN {sign} * TRY_CAST(regexp_replace({figures}, '[.,]', '', 'g') || {padded} AS BIGINT) END"
 
 
-_LEGAL = r"\b(pty\.?\s*ltd|pty\.?\s*limited|private limited|pvt\.?\s*ltd|limited|ltd|incorporated|inc|llc|plc|corporation|corp|gmbh|bv|ag)\b\.?"
-_NAME_KEY = f"trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(supplier_name, '')), '{_LEGAL}', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+_LEGAL_LIST = "['ag', 'bv', 'co', 'corp', 'corporation', 'gmbh', 'inc', 'incorporated', 'kg', 'limited', 'llc', 'lp', 'ltd', 'nv', 'plc', 'proprietary', 'pty', 'pvt', 'sa', 'sarl', 'sas']"
+
+
+def name_key_sql(c: str) -> str:
+    words = f"regexp_extract_all(translate(lower(coalesce({c}, '')), 'áàâäãåéèêëíìîïóòôöõúùûüçñ', 'aaaaaaeeeeiiiiooooouuuucn'), '[a-z0-9]+')"
+    kept = f"list_filter({words}, lambda w: NOT list_contains({_LEGAL_LIST}, w))"
+    return f"array_to_string(CASE WHEN len({kept}) > 0 THEN {kept} ELSE {words} END, ' ')"
+
+
+_NAME_KEY = name_key_sql("supplier_name")
 _ABN_DIGITS = "regexp_replace(coalesce(supplier_abn, ''), '[^0-9]', '', 'g')"
 _ABN_SUM = " + ".join(f"coalesce(TRY_CAST(substr({_ABN_DIGITS}, {i + 1}, 1) AS INTEGER), 0) * {w}" for i, w in enumerate([10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19]))
 _RUN8 = r"list_distinct(list_transform(regexp_extract_all(regexp_replace(coalesce(po_reference, ''), '([^0-9\s])', '\1\1', 'g'), '(^|[^0-9])([0-9](?:\s?[0-9]){7})($|[^0-9])', 2), lambda x: regexp_replace(x, '\s', '', 'g')))"
@@ -285,7 +285,6 @@ s AS (
          WHEN len(wa) > 0 AND len(wb) > 0 THEN CAST(len(list_intersect(wa, wb)) AS DOUBLE) / len(list_distinct(list_concat(wa, wb))) ELSE 0.0 END, 6) AS score FROM p)
 SELECT read_id, line_no, po, po_line_no, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY read_id, line_no, po ORDER BY score DESC, po_line_no) AS rn FROM s WHERE score >= 0.6) WHERE rn = 1
 """
-_TITLE_CASE = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{k}'" for k, p, _ in titles.TITLES)
 _ENTRY = "SELECT DISTINCT statement_no, regexp_replace(upper(reference), '[^A-Z0-9]', '', 'g') AS ref_key FROM {0} WHERE regexp_replace(upper(reference), '[^A-Z0-9]', '', 'g') <> ''"
 _SCORE = "0.22 * coalesce(confidence, 0.5) + 0.30 * CASE WHEN grounded IS NULL THEN 0.5 WHEN grounded THEN 1.0 ELSE 0.0 END + 0.18 * 0.5 + 0.12 * 0.5 + 0.08 * 0.8 + 0.10 * 0.5"
 
@@ -298,10 +297,6 @@ SQL = {
     "stated_order_lines": _STATED,
     "canonical_keys": f"SELECT read_id, regexp_replace(upper(coalesce(doc_number, '')), '[^A-Z0-9]', '', 'g') AS number_id, {_NAME_KEY} AS name_key, CASE WHEN {_NAME_KEY} <> '' THEN {_NAME_KEY} ELSE {_ABN_DIGITS} END AS supplier_key, length({_ABN_DIGITS}) = 11 AND ({_ABN_SUM} - 10) % 89 = 0 AS abn_ok FROM model_read",
     "parsed_money": "SELECT read_id, " + ", ".join(f"{_cents(c)} AS {c}_c" for c in ("subtotal", "gst", "total", "opening_balance", "closing_balance")) + " FROM model_read",
-    "numeric_days": r"""
-SELECT read_id, CAST(CASE WHEN regexp_matches(date, '^\d{4}') THEN TRY_CAST(date AS DATE)
-  ELSE coalesce(TRY_CAST(p[3] || '-' || lpad(p[2], 2, '0') || '-' || lpad(p[1], 2, '0') AS DATE), TRY_CAST(p[3] || '-' || lpad(p[1], 2, '0') || '-' || lpad(p[2], 2, '0') AS DATE)) END AS VARCHAR) AS day
-FROM (SELECT *, regexp_split_to_array(date, '[/.-]') AS p FROM model_read WHERE regexp_matches(date, '^(\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[/.-]\d{1,2}[/.-]\d{4})$'))""",
     "total_checks": f"""
 WITH s AS (SELECT read_id, CAST(sum(c) AS BIGINT) AS lines_c FROM (SELECT DISTINCT read_id, line_no, description, {_cents("amount")} AS c FROM model_line) GROUP BY read_id)
 SELECT read_id, lines_c, abs(lines_c - {_cents("subtotal")}) <= 1 AS lines_ok, abs({_cents("subtotal")} + {_cents("gst")} - {_cents("total")}) <= 1 AS total_ok FROM model_read JOIN s USING (read_id)""",
@@ -317,7 +312,44 @@ c AS (
          WHEN doc_type <> lag(doc_type) OVER w AND lag(doc_type) OVER w <> 'unknown' THEN 1 ELSE 0 END AS cut
   FROM p WINDOW w AS (PARTITION BY ref ORDER BY page, read_id))
 SELECT read_id, ref, page, CAST(sum(cut) OVER (PARTITION BY ref ORDER BY page, read_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM c""",
-    "title_types": f"SELECT read_id, CASE {_TITLE_CASE} ELSE 'unknown' END AS title_type FROM (SELECT read_id, regexp_replace(lower(coalesce(printed_title, '')), '{titles.NEGATED}', ' ', 'g') AS t FROM model_read)",
+    # Titles of one or more words at the head of the list win over single words: written out, not taken from the operator.
+    "title_types": """
+SELECT read_id, CASE WHEN t = '' THEN 'unknown'
+  WHEN regexp_matches(t, '^(credit note|credit memo|adjustment note|avoir|gutschrift)$') THEN 'credit_note'
+  WHEN regexp_matches(t, '^(remittance advice|payment advice|zahlungsavis)$') THEN 'remittance'
+  WHEN regexp_matches(t, '^(statement of account|account statement|statement|kontoauszug)$') THEN 'statement'
+  WHEN regexp_matches(t, '^(delivery docket|delivery note|packing slip|goods received note|lieferschein|bon de livraison)$') THEN 'goods_receipt'
+  WHEN regexp_matches(t, '^(purchase order|order|bestellung|bon de commande)$') THEN 'purchase_order'
+  WHEN regexp_matches(t, '^(price list|price schedule|preisliste)$') THEN 'price_schedule'
+  WHEN regexp_matches(t, '^(tax [il]nvoice|sales [il]nvoice|[il]nvoice|facture|rechnung)$') THEN 'supplier_invoice'
+  ELSE 'unknown' END AS title_type
+FROM (SELECT read_id, array_to_string(regexp_extract_all(lower(coalesce(printed_title, '')), '[a-z0-9]+'), ' ') AS t FROM model_read)""",
+    "document_titles": r"""
+WITH p AS (SELECT * FROM (VALUES
+    ('supplier_invoice', 'invoice'), ('supplier_invoice', 'tax invoice'), ('supplier_invoice', 'sales invoice'), ('supplier_invoice', 'facture'), ('supplier_invoice', 'rechnung'),
+    ('credit_note', 'credit note'), ('credit_note', 'credit memo'), ('credit_note', 'adjustment note'), ('credit_note', 'avoir'), ('credit_note', 'gutschrift'),
+    ('goods_receipt', 'delivery docket'), ('goods_receipt', 'delivery note'), ('goods_receipt', 'packing slip'), ('goods_receipt', 'goods received note'), ('goods_receipt', 'lieferschein'), ('goods_receipt', 'bon de livraison'),
+    ('purchase_order', 'order'), ('purchase_order', 'purchase order'), ('purchase_order', 'bestellung'), ('purchase_order', 'bon de commande'),
+    ('price_schedule', 'price list'), ('price_schedule', 'price schedule'), ('price_schedule', 'preisliste'),
+    ('remittance', 'remittance advice'), ('remittance', 'payment advice'), ('remittance', 'zahlungsavis'),
+    ('statement', 'statement of account'), ('statement', 'account statement'), ('statement', 'statement'), ('statement', 'kontoauszug')) v(kind, phrase)),
+ph AS (SELECT kind, translate(phrase, 'l', 'i') AS phrase, len(string_split(phrase, ' ')) AS n FROM p),
+li AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS ln FROM (SELECT doc_id, regexp_split_to_array(text, '
+|[
+]') AS lines FROM documents)),
+ce AS (SELECT doc_id, ln, list_filter(list_transform(regexp_split_to_array(line, '	+|\s{2,}'), lambda x: trim(x)), lambda x: x <> '') AS cells FROM li),
+ro AS (SELECT doc_id, cells, row_number() OVER (PARTITION BY doc_id ORDER BY ln) - 1 AS row_no FROM ce WHERE len(cells) > 0),
+fl AS (SELECT doc_id, row_no, unnest(cells) AS cell, generate_subscripts(cells, 1) AS cell_no FROM ro),
+tk AS (SELECT doc_id, row_no, cell_no, regexp_extract_all(translate(lower(cell), 'l|', 'ii'), '[a-zäöüéèàç]+|[0-9]+|[:#]') AS t FROM fl),
+ln AS (SELECT *, ' ' || array_to_string(t, ' ') || ' ' AS line, len(t) AS nt, regexp_replace(array_to_string(t, ''), '[^a-zäöüéèàç]', '', 'g') AS letters, len(list_filter(t, lambda x: length(x) = 1)) AS ones FROM tk),
+hit AS (
+  SELECT doc_id, row_no, cell_no, kind, n,
+         CASE WHEN nt >= 4 AND length(letters) = ones AND letters = replace(phrase, ' ', '') THEN 1.0::DOUBLE ELSE n::DOUBLE / nt END AS share
+  FROM ln JOIN ph ON (nt >= 4 AND length(letters) = ones AND letters = replace(phrase, ' ', ''))
+    OR (2 * n > nt AND contains(line, ' ' || phrase || ' ') AND NOT regexp_matches(line, ' ' || phrase || ' ([:#]|no|nr|number|date|ref|reference|totai) '))),
+best AS (SELECT doc_id, arg_max(kind, (s, n, -row_no, -cell_no, kind)) AS kind, max(s) AS s FROM (SELECT *, CAST(floor(share * 1000000 * 25 / (25 + row_no)) AS BIGINT) AS s FROM hit) GROUP BY doc_id)
+SELECT doc_id, coalesce(kind, 'unknown') AS doc_type, coalesce(s, 0) AS score FROM (SELECT DISTINCT doc_id FROM fl) LEFT JOIN best USING (doc_id)""",
+    "field_json": "SELECT read_id, to_json(list_sort(list_distinct(list(struct_pack(field_name := field_name, value := value, confidence := confidence, evidence := evidence)))))::VARCHAR AS document FROM field_value WHERE value <> '' GROUP BY read_id",
     "digit_share": "SELECT coalesce(source, '') AS source, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(sum(length(regexp_replace(text, '[^0-9]', '', 'g'))) AS BIGINT) AS n_digits FROM documents GROUP BY 1",
     "confidence_bands": f"SELECT source, CASE WHEN s >= 0.92 THEN 'auto' WHEN s >= 0.75 THEN 'review' ELSE 'held' END AS band, count(*) AS n FROM (SELECT source, round(CASE WHEN grounded = false THEN least({_SCORE}, 0.35) ELSE {_SCORE} END, 3) AS s FROM (SELECT DISTINCT * FROM field_value)) GROUP BY ALL",
     "score_tallies": "SELECT field_name, source, count(*) FILTER (same) AS n_right, count(*) AS n_all FROM (SELECT field_name, source, regexp_replace(lower(value), '[^a-z0-9]', '', 'g') = regexp_replace(lower(coalesce(printed, '')), '[^a-z0-9]', '', 'g') AS same FROM field_value WHERE value <> '') GROUP BY GROUPING SETS ((), (field_name), (source))",
