@@ -3,16 +3,17 @@
 1. Each distinct token of the names is joined to the reference vocabulary by edit distance: both sides are expanded to
    their deletion neighbourhoods, which meet in an equi-join wherever the distance is within the bound, and the true
    distance is then verified. Abbreviations (a subsequence from the same first letter) are added for common words.
-2. The corrected tokens of each distinct name are combined: soft TF-IDF between the name and every entry that shares a
-   distinctive token ranks the entries; a name is mapped only if its weight is explained by the entry and no other
-   entry explains as much.
+2. The corrected tokens of each distinct name are combined: the soft TF-IDF cosine between the name and every entry that
+   shares a distinctive token ranks the entries. A name stands for the first entry if its score is at least
+   ``LEAST_SCORE`` and no other entry has the same. Of a name in parts (an office after a dash, a second name after
+   'trading as') the first part that stands for an entry decides.
 
-Only distinct tokens and distinct names are worked on; rows are joined back by name, so a name that a third of all rows
-bear costs one evaluation. The reference list must be small (``max_entries``), which is checked.
+Only distinct tokens and distinct names are worked on; rows are joined back by name, and the rows of a name that many
+bear are spread over partitions. The reference list must be small (``max_entries``), which is checked.
 
 Defined cases: a null or empty name gives no row; a name of punctuation alone, or of words the list doesn't hold, is
 unmatched (-1); a tie between two different entries is unmatched; repeated rows give repeated rows; an empty reference
-list leaves everything unmatched.
+list leaves everything unmatched; a token longer than every listed word by more than two letters has no repair.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerquarry.runtime import bounded_rows
+from ledgerquarry.functions.text import bound
+from ledgerquarry.runtime import bounded_rows, cut, default_partitions, hot_keys, join_spread
 
 UNMATCHED = -1
 # Words that say nothing about which firm it is.
@@ -38,8 +41,12 @@ SCANNED, MEANT = "01569|", "olsbgl"
 LOOKALIKE = str.maketrans(SCANNED, MEANT)
 ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüçñÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÇÑ"
 UNACCENTED = "aaaaaaeeeeiiiiooooouuuucnAAAAAAEEEEIIIIOOOOOUUUUCN"
-#: Longer tokens than this are compared by their first letters only when looking for candidates.
-LONGEST_TOKEN = 60
+#: The least soft TF-IDF cosine of a name and the entry it stands for.
+LEAST_SCORE = 0.72
+#: What an entry's word that the name leaves out weighs in the entry's length: names are often shortened.
+LEFT_OUT = 0.3
+#: What parts a name: a dash between blanks, or words that introduce another name of the same firm.
+PARTS = r"(?i)\s+[-–—]\s+|\s+t/as?\s+|\s+trading as\s+"
 
 
 def plain(text: str) -> str:
@@ -61,24 +68,14 @@ def allowed_edits(word: str, common: bool) -> int:
     return 1 if n > 20 else 2 if n >= 8 else 1 if n >= (4 if common else 6) else 0
 
 
-def deletions(word: str, most: int) -> set[str]:
-    out, last = {word}, {word}
-    for _ in range(most):
-        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
-        out |= last
-    return out
-
-
-def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Deletion forms of words, up to the edits allowed to each."""
-    for pdf in batches:
-        words, forms, edits = [], [], []
-        for t, n in zip(pdf["word"], pdf["edits"]):
-            found = deletions(t.translate(LOOKALIKE)[:LONGEST_TOKEN], int(n))
-            words += [t] * len(found)
-            forms += found
-            edits += [n] * len(found)
-        yield pd.DataFrame({"word": words, "edits": edits, "form": forms})
+def deletion_forms(word: Column, edits: Column) -> Column:
+    """Hashes of the word and of what is left of it without one, or one or two letters; within the JVM."""
+    without = lambda w, i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w)))
+    places = lambda w, first: F.when(F.length(w) >= first, F.sequence(first, F.length(w))).otherwise(F.array().cast("array<int>"))
+    one = F.transform(places(word, F.lit(1)), lambda i: without(word, i))
+    two = F.flatten(F.transform(places(word, F.lit(1)), lambda i: bound(without(word, i), lambda w: F.transform(places(w, i), lambda j: without(w, j)))))
+    forms = F.when(edits <= 0, F.array(word)).when(edits == 1, F.concat(F.array(word), one)).otherwise(F.concat(F.array(word), one, two))
+    return F.array_distinct(F.transform(forms, lambda f: F.xxhash64(f)))
 
 
 def repair_tokens(tokens: DataFrame, vocabulary: list[tuple[str, bool]]) -> DataFrame:
@@ -86,25 +83,28 @@ def repair_tokens(tokens: DataFrame, vocabulary: list[tuple[str, bool]]) -> Data
 
     ``vocabulary``: words with a flag for common ones, which may be abbreviated. An equi-join on deletion forms finds
     every pair within two edits; the distance is then computed, so nothing beyond the bound passes. Two letters
-    exchanged are one edit; signs that scanners confuse (0/o, 1/l, 5/s, 6/b, 9/g) are none.
+    exchanged are one edit; signs that scanners confuse (0/o, 1/l, 5/s, 6/b, 9/g) are none. The vocabulary comes from the
+    bounded reference list, so its common words are sent to every worker.
     """
     spark = tokens.sparkSession
     words = sorted({(w, allowed_edits(w, c)) for w, c in vocabulary})
-    schema = "word string, edits int, form string"
-    known = spark.createDataFrame(words or [("", 0)], "word string, edits int").where("word <> ''").mapInPandas(_neighbours, schema)
-    most = F.when(F.length("token") >= 6, 2).otherwise(1)
-    asked = tokens.select(F.col("token").alias("word"), most.alias("edits")).mapInPandas(_neighbours, schema).select(F.col("word").alias("token"), "form")
-    # Both sides grow with their tables, and Spark can't estimate what the workers expand: they are never broadcast.
-    near = asked.join(known.hint("merge"), "form").select("token", "word", "edits").distinct()
+    # Tokens are few bytes and much work: they are spread by a number, which Spark does not shrink for their size.
+    n = default_partitions(spark)
+    longest = max((len(w) for w, _ in words), default=0) + 2
+    known = spark.createDataFrame(pa.table({"word": pa.array([w for w, _ in words], pa.string()), "edits": pa.array([e for _, e in words], pa.int32())})).repartition(n, "word")
+    known = known.select("word", "edits", F.explode(deletion_forms(F.translate("word", SCANNED, MEANT), F.col("edits"))).alias("form"))
     folded = F.translate("token", SCANNED, MEANT)
+    asked = tokens.where(F.length("token") <= longest).repartition(n, "token").select("token", F.explode(deletion_forms(folded, F.when(F.length("token") >= 6, 2).otherwise(1))).alias("form"))
+    # Both sides grow with their tables, and Spark can't estimate what they expand to: they are never broadcast.
+    near = asked.join(known.hint("merge"), "form").select("token", "word", "edits").distinct()
     letters = lambda c: F.array_sort(F.split(c, ""))
     d = F.levenshtein(folded, F.col("word"))
     swapped = (d == 2) & (F.length("token") == F.length("word")) & (letters(folded) == letters(F.col("word")))
     near = near.withColumn("d", F.when(swapped, 1).otherwise(d)).where("d <= edits").select("token", "word", (1 - F.col("d") / F.greatest(F.length("token"), F.length("word"))).alias("sim"))
     common = [w for w, c in vocabulary if c and len(w) >= 5]
-    heads = spark.createDataFrame([(w[0], w) for w in common] or [("", "")], "head string, word string").where("word <> ''")
+    heads = spark.createDataFrame(pa.table({"head": pa.array([w[0] for w in common], pa.string()), "word": pa.array(common, pa.string())}))
     # A subsequence from the same first letter: the pattern 'svcs' -> 's.*v.*c.*s.*'.
-    shorter = tokens.withColumn("head", F.substring("token", 1, 1)).join(heads, "head").where((F.length("token") >= 3) & (F.length("token") < F.length("word")))
+    shorter = tokens.withColumn("head", F.substring("token", 1, 1)).join(F.broadcast(heads), "head").where((F.length("token") >= 3) & (F.length("token") < F.length("word")))
     short = shorter.where(F.col("token").rlike("^[a-z]+$")).where(F.expr("word rlike concat('^', regexp_replace(token, '(.)', '$1.*'))")).select("token", "word", F.when(F.expr("startswith(word, token)"), 0.95).otherwise(0.85).alias("sim"))
     return near.unionByName(short).groupBy("token", "word").agg(F.max("sim").alias("sim"))
 
@@ -152,70 +152,57 @@ class Reference:
         return words + [(j, False) for j in self.joined if j not in self.idf]
 
     def rank(self, tokens: list[str], repairs: dict[str, list[tuple[str, float]]]) -> tuple[int, float]:
-        """The entry this name stands for, and the soft TF-IDF score; (-1, best score) if none."""
+        """The entry this name stands for, and the soft TF-IDF cosine; (-1, best score) if none."""
         ways: list[tuple[str, list[tuple[tuple[str, ...], float]]]] = []
         for t in tokens:
-            options = [(self.joined.get(w, (w,)) if w not in self.idf else (w,), s) for w, s in repairs.get(t, [])]
-            ways.append((t, options))
-        candidates = {i for _, options in ways for words, _ in options for w in words for i in self.by_word.get(w, ())}
-        best: dict[int, tuple[float, float]] = {}
-        for i in candidates:
+            ways.append((t, [(self.joined.get(w, (w,)) if w not in self.idf else (w,), s) for w, s in repairs.get(t, [])]))
+        best: dict[int, float] = {}
+        for i in {i for _, options in ways for words, _ in options for w in words for i in self.by_word.get(w, ())}:
             entry_id, words = self.entries[i]
-            inside = set(words)
-            explained = total = dot = norm = 0.0
-            hit: set[str] = set()
+            inside, hit = set(words), set()
+            dot = norm = 0.0
             for t, options in ways:
                 fitting = [(s, ws) for ws, s in options if all(w in inside for w in ws)]
                 if fitting:
                     s, ws = max(fitting)
-                    w2 = sum(self.idf[w] for w in ws)
-                    explained += s * w2
-                    total += w2
                     norm += sum(self.idf[w] ** 2 for w in ws)
-                    dot += s * sum(self.idf[w] ** 2 for w in ws)
+                    dot += s * sum(self.idf[w] ** 2 for w in ws if w not in hit)
                     hit |= set(ws)
-                elif t in LEGAL_WORDS or t in PLACE_WORDS:
-                    continue
-                else:
+                elif t not in LEGAL_WORDS and t not in PLACE_WORDS:
                     known = [self.idf[w] for ws, s in options for w in ws if s > 0.8]
-                    weight = max(known) if known else self.unknown
                     # A fragment of one or two letters is scanning debris unless it is the whole name.
-                    weight *= 0.2 if len(t) <= 2 else 1.0
-                    total += weight
-                    norm += weight**2
-            if not total or not hit or all(w in self.common for w in hit):
-                continue
-            size = math.sqrt(sum(self.idf[w] ** 2 for w in inside))
-            score = dot / (math.sqrt(norm) * size) if norm else 0.0
-            share = explained / total
-            covered = sum(self.idf[w] for w in hit)
-            old = best.get(entry_id)
-            if old is None or (share, covered) > old[:2]:
-                best[entry_id] = (share, covered, score)
-        if not best:
+                    norm += ((max(known) if known else self.unknown) * (0.2 if len(t) <= 2 else 1.0)) ** 2
+            if hit and not all(w in self.common for w in hit):
+                length = sum(self.idf[w] ** 2 * (1.0 if w in hit else LEFT_OUT) for w in inside)
+                score = dot / math.sqrt(norm * length)
+                best[entry_id] = max(score, best.get(entry_id, 0.0))
+        ranked = sorted(best.items(), key=lambda kv: (-round(kv[1], 6), kv[0]))
+        if not ranked:
             return UNMATCHED, 0.0
-        ranked = sorted(best.items(), key=lambda kv: (-round(kv[1][0] * kv[1][1], 6), -kv[1][2], kv[0]))
-        entry_id, (share, covered, score) = ranked[0]
-        if share < self.least_share:
-            return UNMATCHED, score
-        if len(ranked) > 1:
-            other = ranked[1][1]
-            if abs(other[0] * other[1] - share * covered) < 1e-6 and other[0] >= self.least_share:
-                return UNMATCHED, score
-        return entry_id, score
+        (entry_id, score), others = ranked[0], ranked[1:]
+        tied = bool(others) and abs(others[0][1] - score) < 1e-6
+        return (UNMATCHED if tied or score < LEAST_SCORE else entry_id), score
 
-    least_share = 0.74
+    def rank_parts(self, parts: list[list[str]], repairs: dict[str, list[tuple[str, float]]]) -> tuple[int, float]:
+        """The first part that stands for an entry; (-1, best score) if none does."""
+        scores = []
+        for tokens in parts:
+            entry_id, score = self.rank(list(tokens), repairs)
+            if entry_id != UNMATCHED:
+                return entry_id, score
+            scores.append(score)
+        return UNMATCHED, max(scores, default=0.0)
 
 
 def _ranker(reference: Reference):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids, scores = [], []
-            for tokens, found in zip(pdf["tokens"], pdf["repairs"]):
+            for parts, found in zip(pdf["parts"], pdf["repairs"]):
                 repairs: dict[str, list[tuple[str, float]]] = defaultdict(list)
                 for r in found if found is not None else ():
                     repairs[r["token"]].append((r["word"], r["sim"]))
-                entry, score = reference.rank(list(tokens), repairs)
+                entry, score = reference.rank_parts(parts, repairs)
                 ids.append(entry)
                 scores.append(score)
             yield pd.DataFrame({"name": pdf["name"], "entry_id": ids, "score": scores})
@@ -232,12 +219,11 @@ def map_names(df: DataFrame, id_col: str, name_col: str, entries: DataFrame, ent
     aliases = F.col(entry_aliases) if entry_aliases else F.array().cast("array<string>")
     listed = bounded_rows(entries.select(F.col(entry_id).cast("bigint"), F.concat(F.array(F.col(entry_name)), F.coalesce(aliases, F.array().cast("array<string>")))), max_entries, "the reference list")
     reference = Reference([(r[0], [n for n in r[1] if n]) for r in listed])
-    rows = df.select(F.col(id_col).alias("__id"), F.col(name_col).alias("__n")).where(F.length(F.trim("__n")) > 0)
-    # What follows a dash between blanks is an office or a yard; what follows 'trading as' is another name of the firm.
-    firm = F.regexp_replace("__n", r"(?i)\s+[-–—]\s.*$|\s+t/as?\s.*$|\s+trading as\s.*$", "")
-    names = rows.select("__n").distinct().select(F.col("__n").alias("name"), name_tokens(firm).alias("tokens"))
-    tokens = names.select(F.explode("tokens").alias("token")).distinct()
-    repairs = repair_tokens(tokens, reference.vocabulary())
-    per_name = names.select("name", F.explode(F.array_distinct("tokens")).alias("token")).join(repairs, "token").groupBy("name").agg(F.collect_list(F.struct("token", "word", "sim")).alias("repairs"))
-    ranked = names.join(per_name, "name", "left").select("name", "tokens", "repairs").mapInPandas(_ranker(reference), "name string, entry_id bigint, score double")
-    return rows.join(ranked.withColumnRenamed("name", "__n"), "__n").select(F.col("__id").alias(id_col), "entry_id", "score")
+    rows = df.select(F.col(id_col).alias("__id"), F.col(name_col).alias("name")).where(F.length(F.trim("name")) > 0)
+    counts = cut(rows.groupBy("name").agg(F.count("*").alias("n")))
+    names = cut(counts.select("name", F.transform(F.split("name", PARTS), name_tokens).alias("parts")))
+    tokens = cut(names.select(F.explode(F.array_distinct(F.flatten("parts"))).alias("token"), "name"))
+    repairs = repair_tokens(tokens.select("token").distinct(), reference.vocabulary())
+    per_name = tokens.join(repairs, "token").groupBy("name").agg(F.collect_list(F.struct("token", "word", "sim")).alias("repairs"))
+    ranked = names.join(per_name, "name", "left").select("name", "parts", "repairs").repartition(default_partitions(df.sparkSession), F.xxhash64("name")).mapInPandas(_ranker(reference), "name string, entry_id bigint, score double")
+    return join_spread(rows, ranked, ["name"], hot_keys(counts, ["name"], "n"), F.col("__id")).select(F.col("__id").alias(id_col), "entry_id", "score")

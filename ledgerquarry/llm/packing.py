@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerquarry.functions.text import literal_map
 from ledgerquarry.runtime import cut
 
 CAPACITY = 2048
 PATTERNS = 3000
 MOST_DOCS = 64
-SALTS = 64
+ROWS_PER_SALT = 1_000_000
 FIT_STEPS = 1000
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -205,23 +206,26 @@ def _lookup(plan: Plan, columns: list[str]):
     return run
 
 
-def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, n_patterns: int = PATTERNS, salts: int = SALTS) -> DataFrame:
+def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, n_patterns: int = PATTERNS, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """(doc_id, piece, start_token, n_tokens, container) for every piece of every text.
 
     Shuffles: the histogram (partial sums), counts per length and salt, and one of the small (id, length) rows for ranks.
+    A length has as many salts as its count asks for, so no task ranks more than about ``rows_per_salt`` pieces.
     """
     if capacity < 1:
         raise ValueError("the capacity must be at least one token")
     sizes = token_counts(docs, doc_id, text, tokenizer)
     starts = F.when(F.col("n_tokens") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("n_tokens") - 1, F.lit(capacity)))
     pieces = sizes.select("doc_id", "n_tokens", F.posexplode(starts).alias("piece", "start_token"))
-    pieces = pieces.select("doc_id", "piece", "start_token", F.least(F.col("n_tokens") - F.col("start_token"), F.lit(capacity)).alias("n_tokens"))
-    pieces = cut(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int")))
-    groups = pieces.groupBy("n_tokens", "salt").agg(F.count("*").alias("n"))
+    pieces = cut(pieces.select("doc_id", "piece", "start_token", F.least(F.col("n_tokens") - F.col("start_token"), F.lit(capacity)).alias("n_tokens")))
     counts = np.zeros(capacity + 1, dtype=np.int64)
-    for r in groups.groupBy("n_tokens").agg(F.sum("n").alias("n")).collect():  # at most capacity + 1 rows
+    for r in pieces.groupBy("n_tokens").agg(F.count("*").alias("n")).collect():  # at most capacity + 1 rows
         counts[r["n_tokens"]] = r["n"]
     plan = make_plan(counts, capacity, n_patterns)
+    salts = literal_map({str(n): int(c // rows_per_salt) + 1 for n, c in enumerate(counts) if c >= rows_per_salt}, "int")
+    n_salts = F.coalesce(F.try_element_at(salts, F.col("n_tokens").cast("string")), F.lit(1))
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), n_salts).cast("int"))
+    groups = pieces.groupBy("n_tokens", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("n_tokens").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))
     offsets = groups.select(F.col("n_tokens").alias("n2"), F.col("salt").alias("salt2"), F.coalesce(before, F.lit(0)).alias("offset"))
     order = F.row_number().over(W.partitionBy("n_tokens", "salt").orderBy("doc_id", "piece")) - 1

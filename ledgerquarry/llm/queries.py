@@ -29,6 +29,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
 
+def p9_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold twelve consecutive words of an item within two edits."""
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"), max_edits=2)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.surviving_readings(table(spark, sf_dir, "model_read"), table(spark, sf_dir, "field_value")).select("doc_type", "number_key", "field_name", "read_id")
 
@@ -53,7 +58,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_subjects(spark, sf_dir).select("doc_id", "subject")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p6_found, p7_found, p7_fused, p8_packed, p8_fill, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p6_found, p7_found, p7_fused, p8_packed, p8_fill, p9_found, p9_edits, p10_found)}
 _NUMBER = r"list_extract(regexp_extract_all(regexp_replace(coalesce(doc_number, ''), '([^0-9\s])', '\1\1', 'g'), '(^|[^0-9])([0-9](?:\s?[0-9]){8})($|[^0-9])', 2), 1)"
 _P7 = f"""
 WITH k AS (

@@ -6,11 +6,13 @@ for no subject). It starts from labelled documents, whose sentences share the
 document's labels, and is refined over every document, labelled or not: sentences are assigned softly, with the
 document's own mix of subjects as prior and "no subject" as an alternative; a sentence without one counts by its document's mix, so
 phrases common to all documents stay neutral; then the counts are taken again. The share of
-a document's subject-bearing sentences that deal with a subject decides; a logistic curve per subject, fitted to the
-labelled documents, turns shares into independent posteriors.
+a document's subject-bearing sentences that deal with a subject is its score; a logistic curve per subject turns scores
+into independent posteriors, and a posterior of at least one half makes a row. The share that is asked for fixes where the
+curve crosses one half; labelled documents that were held out of the fit fix how steep it is.
 
-Size: words are hashed to 2**``bits`` buckets, so the model on the driver and in each worker has a fixed size whatever
-the corpus. Each round is one narrow pass over the cached word lists with a partial sum per task; only bucket sums move.
+Size: words are hashed to 2**``bits`` buckets per language. The model holds the buckets that occur; its size is checked
+before it is sent to the workers (``MODEL_BYTES``). Each round is one narrow pass over the word lists, written once, with a
+partial sum per task; only bucket sums move.
 
 Defined cases: null and empty texts, and texts without any subject-bearing sentence, give no row; a document in several
 rows gives rows for each; labels of absent documents and null labels are ignored; no labels or no documents give no rows;
@@ -30,6 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ledgerquarry.functions.text import literal_map
 from ledgerquarry.runtime import bounded_rows, cut
 
 #: A sentence without a word that speaks for a subject stays without one: the log-odds a subject must exceed.
@@ -48,8 +53,12 @@ FUNCTION_WORDS = {
     "fr": {"le", "la", "les", "et", "de", "du", "une", "est", "chez", "pour"},
     "de": {"der", "die", "das", "und", "ist", "wurde", "zu", "bei", "mit", "auf"},
 }
-#: Languages with a model of their own, in order of frequency; rarer ones share the last.
-MOST_LANGUAGES = 16
+#: Every language has a model of its own; more names than this are no languages, and are refused.
+MOST_LANGUAGES = 1000
+#: The most a model may take in each worker.
+MODEL_BYTES = 512 * 1024 * 1024
+#: One of so many labelled documents, by hash of its id, is held out of the fit to calibrate.
+HELD_OUT = 10
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
 
@@ -65,9 +74,9 @@ def _bucket(word: str, bits: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) >> (32 - bits)
 
 
-def language_of(words: list[str]) -> str:
+def language_of(seen: dict[str, int]) -> str:
     """The language whose function words are most frequent; en on a tie."""
-    return max(FUNCTION_WORDS, key=lambda k: (sum(w in FUNCTION_WORDS[k] for w in words), k == "en"))
+    return max(FUNCTION_WORDS, key=lambda k: (seen.get(k, 0), k == "en"))
 
 
 def _featurise(bits: int, languages: list[str]):
@@ -79,20 +88,21 @@ def _featurise(bits: int, languages: list[str]):
             for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist()):
                 w: list[int] = []
                 n: list[int] = []
-                seen: list[str] = []
+                seen: dict[str, int] = {}
                 for s in sentences(text.as_py() or ""):
                     found = _WORD.findall(s.lower())
                     if found:
                         w += [_bucket(x, bits) for x in found]
                         n.append(len(found))
-                        if not lang and len(seen) < 2000:
-                            seen += found
+                        if not lang:
+                            for k, known in FUNCTION_WORDS.items():
+                                seen[k] = seen.get(k, 0) + sum(x in known for x in found)
                 words.append(w)
                 lengths.append(n)
-                langs.append(number.get(lang or language_of(seen), len(languages) - 1))
+                langs.append(number[lang or language_of(seen)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(words, pa.list_(pa.int32())), pa.array(lengths, pa.list_(pa.int32())), pa.array(langs, pa.int32()), batch.column("labels")],
-                ["doc_id", "words", "lengths", "lang", "labels"],
+                [batch.column("doc_id"), pa.array(words, pa.list_(pa.int32())), pa.array(lengths, pa.list_(pa.int32())), pa.array(langs, pa.int32()), batch.column("labels"), batch.column("held")],
+                ["doc_id", "words", "lengths", "lang", "labels", "held"],
             )
 
     return run
@@ -121,12 +131,26 @@ def blocks(batch: pa.RecordBatch) -> Iterator[Block]:
         start = stop
 
 
-def posteriors(weights: np.ndarray, b: Block, labels: list[list[int]] | None, no_subject: float = NO_SUBJECT) -> tuple[np.ndarray, np.ndarray]:
+class Weights:
+    """Log-odds of the buckets that occur, with the row of each (language, bucket); row 0 is for what was never seen."""
+
+    def __init__(self, at: np.ndarray, rows: np.ndarray, n_lang: int, bits: int):
+        self.bits, self.rows = bits, np.concatenate([np.zeros((1, rows.shape[1]), dtype=np.float32), rows])
+        self.place = np.zeros(n_lang << bits, dtype=np.int32)
+        self.place[at] = np.arange(1, len(at) + 1, dtype=np.int32)
+        if self.rows.nbytes + self.place.nbytes > MODEL_BYTES:
+            raise ValueError(f"the model takes {self.rows.nbytes + self.place.nbytes} bytes, over MODEL_BYTES; use fewer bits")
+
+    def of(self, lang: np.ndarray, words: np.ndarray) -> np.ndarray:
+        return self.rows[self.place[(lang << self.bits) + words]]
+
+
+def posteriors(weights: Weights, b: Block, labels: list[list[int]] | None, no_subject: float = NO_SUBJECT) -> tuple[np.ndarray, np.ndarray]:
     """(sentence, subject) posteriors, what is missing to one being 'no subject', and each document's mix of subjects,
     which is the prior of its sentences."""
-    k = weights.shape[2]
+    k = weights.rows.shape[1]
     starts = np.concatenate([[0], np.cumsum(b.lengths)[:-1]])
-    scores = np.add.reduceat(weights[b.word_lang, b.words], starts, axis=0).astype(np.float64)
+    scores = np.add.reduceat(weights.of(b.word_lang, b.words), starts, axis=0).astype(np.float64)
     given = np.ones((b.n_docs, k))
     for d, ls in enumerate(labels or ()):
         if ls:
@@ -151,13 +175,11 @@ def _count(bits: int, k: int, n_lang: int, model, no_subject: float):
     size = 1 << bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((k + 1, n_lang * size))
+        by_lang: dict[int, np.ndarray] = {}  # the sums of the languages this task meets
         for batch in batches:
             labels = batch.column("labels").to_pylist()
             for b in blocks(batch):
                 own = [ls or [] for ls in labels[b.start : b.start + b.n_docs]]
-                at = b.word_lang * size + b.words
-                total[0] += np.bincount(at, minlength=n_lang * size)
                 if model is None:
                     share = np.zeros((b.n_docs, k))
                     for d, ls in enumerate(own):
@@ -168,13 +190,19 @@ def _count(bits: int, k: int, n_lang: int, model, no_subject: float):
                     p, mix = posteriors(model.value, b, own, no_subject)
                     p = p + (1 - p.sum(axis=1, keepdims=True)) * mix[b.docs]
                 sentence = np.repeat(np.arange(len(b.docs)), b.lengths)
-                for s in range(k):
-                    if p[:, s].any():
-                        total[s + 1] += np.bincount(at, weights=p[sentence, s], minlength=n_lang * size)
-        used = np.flatnonzero(total[0])
-        for i in range(0, len(used), 20_000):
-            part = used[i : i + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *[pa.array(total[s, part]) for s in range(k + 1)]], ["bucket", *[f"c{s}" for s in range(k + 1)]])
+                for lang in np.unique(b.lang):
+                    total = by_lang.setdefault(int(lang), np.zeros((k + 1, size)))
+                    mine = b.word_lang == lang
+                    at, of = b.words[mine], sentence[mine]
+                    total[0] += np.bincount(at, minlength=size)
+                    for s in range(k):
+                        if p[:, s].any():
+                            total[s + 1] += np.bincount(at, weights=p[of, s], minlength=size)
+        for lang, total in by_lang.items():
+            used = np.flatnonzero(total[0])
+            for i in range(0, len(used), 20_000):
+                part = used[i : i + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array((part + (lang << bits)).astype(np.int32)), *[pa.array(total[s, part]) for s in range(k + 1)]], ["bucket", *[f"c{s}" for s in range(k + 1)]])
 
     return run
 
@@ -196,16 +224,19 @@ def log_odds(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _gather(features: DataFrame, bits: int, k: int, n_lang: int, model, no_subject: float = NO_SUBJECT) -> tuple[np.ndarray, float]:
-    """Weights (language, bucket, subject) from the counts of one pass over all documents, and the words per subject."""
+def _gather(features: DataFrame, bits: int, k: int, n_lang: int, model, no_subject: float = NO_SUBJECT) -> tuple[Weights, float]:
+    """Weights from the counts of one pass over all documents, and the words per subject."""
     schema = "bucket int, " + ", ".join(f"c{s} double" for s in range(k + 1))
     summed = features.mapInArrow(_count(bits, k, n_lang, model, no_subject), schema).groupBy("bucket").agg(*[F.sum(f"c{s}").alias(f"c{s}") for s in range(k + 1)])
-    counts = np.zeros((k + 1, n_lang << bits))
-    table = summed.toArrow()  # at most languages x 2**bits rows
-    at = np.asarray(table.column("bucket"))
-    for s in range(k + 1):
-        counts[s, at] = np.asarray(table.column(f"c{s}"))
-    return np.stack([log_odds(counts[:, i << bits : (i + 1) << bits]) for i in range(n_lang)]), float(counts[1:].sum()) / k
+    table = summed.toArrow()  # at most the buckets that occur: languages x 2**bits
+    at = np.asarray(table.column("bucket")).astype(np.int64)
+    order = np.argsort(at)
+    at, counts = at[order], np.stack([np.asarray(table.column(f"c{s}"))[order] for s in range(k + 1)])
+    rows = np.zeros((len(at), k), dtype=np.float32)
+    for lang in np.unique(at >> bits):
+        mine = (at >> bits) == lang
+        rows[mine] = log_odds(counts[:, mine])
+    return Weights(at, rows, n_lang, bits), float(counts[1:].sum()) / k
 
 
 def _shares(model, names: list[str], schema: pa.Schema):
@@ -228,41 +259,42 @@ def _shares(model, names: list[str], schema: pa.Schema):
 
 
 class SubjectModel:
-    """A fitted model: subject names, log-odds per bucket and the calibration curve (slope, intercept) per subject."""
+    """A fitted model: subject names, log-odds per bucket and the steepness of each subject's calibration curve."""
 
-    def __init__(self, names: list[str], weights: np.ndarray, bits: int):
+    def __init__(self, names: list[str], weights: Weights, bits: int):
         self.names, self.weights, self.bits = names, weights, bits
-        self.curves: dict[str, tuple[float, float]] = {}
+        self.slopes: dict[str, float] = {}
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
-    """Slope and intercept of P(y) = 1 / (1 + exp(-(ax + b))) by Newton's method with a small ridge."""
+def fit_slope(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> float:
+    """The slope of P(y) = 1 / (1 + exp(-ax)), at least a little above 0, by Newton's method with a small ridge."""
+    a = 12.0
     if not len(x) or y.min() == y.max():
-        return 12.0, -3.0
-    design, beta = np.stack([x, np.ones_like(x)], axis=1), np.zeros(2)
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        hess = (design * (p * (1 - p))[:, None]).T @ design + ridge * np.eye(2) * 1e-2
-        step = np.linalg.solve(hess, design.T @ (y - p) - ridge * 1e-2 * beta)
-        beta = beta + step
-        if np.abs(step).max() < 1e-6:
+        return a
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * x, -30, 30)))
+        step = ((y - p) @ x - ridge * a) / ((p * (1 - p)) @ (x * x) + ridge)
+        a = min(max(a + step, 0.1), 200.0)
+        if abs(step) < 1e-6:
             break
-    return float(beta[0]), float(beta[1])
+    return float(a)
 
 
 def prepare(docs: DataFrame, labels: DataFrame, names: list[str], *, doc_id: str, text: str, lang: str | None, bits: int) -> tuple[DataFrame, int]:
-    """The cached word lists of every document, with its label numbers, written once to the shared folder; and the number
-    of languages told apart."""
+    """The word lists of every document, with its label numbers, or those held out, written once to the shared folder; and
+    the number of languages told apart."""
     number = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
     known = labels.select(F.col(doc_id).alias("__doc"), F.try_element_at(number, F.col("subject")).alias("__n")).where("__doc is not null and __n is not null")
     per_doc = known.groupBy("__doc").agg(F.sort_array(F.collect_set("__n")).alias("labels"))
     language = F.col(lang) if lang else F.lit(None).cast("string")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.nullif(F.trim(language), F.lit("")).alias("lang")).where(F.length("text") > 0)
-    frequent = [r[0] for r in rows.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    languages = frequent + [x for x in FUNCTION_WORDS if x not in frequent]
-    joined = rows.join(per_doc, rows["doc_id"] == per_doc["__doc"], "left").select("doc_id", "text", "lang", "labels")
+    named = sorted(r[0] for r in bounded_rows(rows.select("lang").where("lang is not null").distinct(), MOST_LANGUAGES, "the languages"))
+    languages = named + [x for x in FUNCTION_WORDS if x not in named]
+    joined = rows.join(per_doc, rows["doc_id"] == per_doc["__doc"], "left")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
+    joined = joined.select("doc_id", "text", "lang", F.when(~held, F.col("labels")).alias("labels"), F.when(held, F.col("labels")).alias("held"))
     kind = dict(rows.dtypes)["doc_id"]
-    return cut(joined.mapInArrow(_featurise(bits, languages), f"doc_id {kind}, words array<int>, lengths array<int>, lang int, labels array<int>")), len(languages)
+    return cut(joined.mapInArrow(_featurise(bits, languages), f"doc_id {kind}, words array<int>, lengths array<int>, lang int, labels array<int>, held array<int>")), len(languages)
 
 
 def fit(features: DataFrame, n_lang: int, names: list[str], *, rounds: int, bits: int) -> SubjectModel:
@@ -271,7 +303,7 @@ def fit(features: DataFrame, n_lang: int, names: list[str], *, rounds: int, bits
     weights, known = _gather(features, bits, k, n_lang, None)
     first = NO_SUBJECT * known / (known + HALF_KNOWN)
     for i in range(rounds):
-        shared = sc.broadcast(weights)  # languages x 2**bits x subjects x 4 bytes, whatever the corpus
+        shared = sc.broadcast(weights)  # bounded by MODEL_BYTES
         weights, _ = _gather(features, bits, k, n_lang, shared, first + (NO_SUBJECT - first) * min(1.0, i / 3))
         shared.unpersist()
     return SubjectModel(names, weights, bits)
@@ -280,26 +312,28 @@ def fit(features: DataFrame, n_lang: int, names: list[str], *, rounds: int, bits
 def shares(features: DataFrame, model: SubjectModel) -> DataFrame:
     """(doc_id, subject, share, n_sentences, n_any) for each subject with at least one sentence."""
     sc, kind = features.sparkSession.sparkContext, dict(features.dtypes)["doc_id"]
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    id_type = to_arrow_type(features.schema["doc_id"].dataType)
     schema = pa.schema([("doc_id", id_type), ("subject", pa.string()), ("share", pa.float64()), ("n_sentences", pa.int32()), ("n_any", pa.int32())])
     return features.mapInArrow(_shares(sc.broadcast(model.weights), model.names, schema), f"doc_id {kind}, subject string, share double, n_sentences int, n_any int")
 
 
-def calibrate(found: DataFrame, features: DataFrame, model: SubjectModel, *, max_labelled: int = 200_000) -> SubjectModel:
-    """Fit each subject's curve to the labelled documents (a sample of at most ``max_labelled``, by hash of the id)."""
-    labelled = features.where("labels is not null").select("doc_id", "labels").orderBy(F.xxhash64("doc_id")).limit(max_labelled)
-    pairs = labelled.join(found, "doc_id", "left").groupBy("doc_id").agg(F.first("labels").alias("labels"), F.collect_list(F.struct("subject", "share")).alias("s")).select("labels", "s").collect()
+def calibrate(found: DataFrame, features: DataFrame, model: SubjectModel, threshold: float, *, max_labelled: int = 200_000) -> SubjectModel:
+    """Fit each subject's steepness to the labelled documents held out of the fit (a sample of at most ``max_labelled``, by
+    hash of the id)."""
+    labelled = features.where("held is not null").select("doc_id", "held").orderBy(F.xxhash64("doc_id")).limit(max_labelled)
+    pairs = labelled.join(found, "doc_id", "left").groupBy("doc_id").agg(F.first("held").alias("held"), F.collect_list(F.struct("subject", "share")).alias("s")).select("held", "s").collect()
     for i, name in enumerate(model.names):
         x = np.array([next((v["share"] for v in r["s"] if v["subject"] == name), 0.0) for r in pairs])
-        y = np.array([float(i in r["labels"]) for r in pairs])
-        model.curves[name] = fit_logistic(x, y)
+        y = np.array([float(i in r["held"]) for r in pairs])
+        model.slopes[name] = fit_slope(x - threshold, y)
     return model
 
 
 def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang", threshold: float = 0.25, rounds: int = 5, bits: int = 16, max_subjects: int = 1000) -> DataFrame:
-    """(doc_id, subject, share, posterior): each subject with at least ``threshold`` of the subject-bearing sentences.
+    """(doc_id, subject, share, posterior): each subject whose calibrated posterior, of dealing with at least ``threshold`` of
+    the subject-bearing sentences, is one half or more.
 
-    ``labels``: (doc_id, subject); ``subjects``: the list (subject). The posterior is calibrated per subject.
+    ``labels``: (doc_id, subject); ``subjects``: the list (subject).
     """
     names = sorted(r[0] for r in bounded_rows(subjects.select("subject").where("subject is not null").distinct(), max_subjects, "the subjects"))
     kind = dict(docs.dtypes)[doc_id]
@@ -308,8 +342,8 @@ def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, *,
     features, n_lang = prepare(docs, labels, names, doc_id=doc_id, text=text, lang=lang, bits=bits)
     model = fit(features, n_lang, names, rounds=rounds, bits=bits)
     found = shares(features, model)
-    model = calibrate(found, features, model)
-    curve = F.create_map(*[x for n, (a, b) in model.curves.items() for x in (F.lit(n), F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")))])
-    c = curve[F.col("subject")]
-    posterior = 1 / (1 + F.exp(-(c["a"] * F.col("share") + c["b"])))
-    return found.where(F.col("share") >= threshold).select(F.col("doc_id").alias(doc_id), "subject", "share", posterior.alias("posterior"))
+    model = calibrate(found, features, model, threshold)
+    slope = F.try_element_at(literal_map(model.slopes, "double"), F.col("subject"))
+    posterior = 1 / (1 + F.exp(-slope * (F.col("share") - threshold)))
+    out = found.select(F.col("doc_id").alias(doc_id), "subject", "share", posterior.alias("posterior"))
+    return out.where("posterior >= 0.5")

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerquarry.functions.ids import digit_runs
+from ledgerquarry.functions.text import literal_map
+from ledgerquarry.llm.canonical import ACCENTED, UNACCENTED
 from ledgerquarry.runtime import bounded_rows, cut
 
 
@@ -86,69 +88,71 @@ def _independence(shared_true: float, shared_false: float, differ: float, a1: fl
     return float(1 / (1 + PRIOR_COPY / (1 - PRIOR_COPY) * np.exp(np.clip(gain, -50, 50))))
 
 
-def _pair_counts(claims: DataFrame, items: dict[tuple[str, str], int]) -> list[tuple[str, str, float, float, float]]:
-    """For each pair of sources, on how many items they share a true value, share a false one, and differ.
+def _pair_counts(claims: DataFrame, common: DataFrame) -> dict[tuple[str, str], tuple[float, float, float]]:
+    """For each pair of sources that meet, on how many items they share a true value, share a false one, and differ.
 
     ``claims``: (item, source, value, share, truth), ``share`` being the part of the source's claims of the item that
     give the value: a source that gives several values shares and differs in part. Where truth is null, what is shared
-    counts as true. ``items``: on how many items both make a claim. A row per item and value is bounded by the sources.
+    counts as true. ``common``: (a, b, n), on how many items both make a claim. One shuffle by (item, value); only pairs of
+    sources that hold the same value are formed, at most the pairs of sources for a value, and summed before they move.
     """
-    if not items:
-        return []
-    per_value = claims.groupBy("item", "value").agg(F.max("truth").alias("truth"), F.map_from_entries(F.collect_list(F.struct("source", "share"))).alias("m"))
+    per_value = claims.groupBy("item", "value").agg(F.first("truth", ignorenulls=True).alias("truth"), F.array_sort(F.collect_list(F.struct("source", "share"))).alias("s"))
     true = F.coalesce(F.col("value") == F.col("truth"), F.lit(True))
-    sums = []
-    for a, b in items:
-        both = F.try_element_at("m", F.lit(a)) * F.try_element_at("m", F.lit(b))
-        sums += [F.sum(F.when(true, both)), F.sum(F.when(~true, both))]
-    found = [float(x or 0.0) for x in per_value.agg(*[c.alias(f"n{i}") for i, c in enumerate(sums)]).collect()[0]]
-    return [(a, b, found[2 * k], found[2 * k + 1], max(0.0, n - found[2 * k] - found[2 * k + 1])) for k, ((a, b), n) in enumerate(items.items())]
+    pairs = _pairs_of(per_value.where(F.size("s") > 1).select(true.alias("true"), "s"), "true")
+    both = F.col("x.share") * F.col("y.share")
+    sums = pairs.groupBy(F.col("x.source").alias("a"), F.col("y.source").alias("b")).agg(F.sum(F.when(F.col("true"), both)).alias("t"), F.sum(F.when(~F.col("true"), both)).alias("f"))
+    out = {}
+    for r in common.join(sums, ["a", "b"], "left").collect():  # at most max_sources squared numbers
+        t, f = float(r["t"] or 0.0), float(r["f"] or 0.0)
+        out[(r["a"], r["b"])] = (t, f, max(0.0, r["n"] - t - f))
+    return out
+
 
+def _pairs_of(df: DataFrame, *keep: str) -> DataFrame:
+    """Each pair of different entries of the sorted array ``s`` as ``x`` and ``y``."""
+    return df.select(*keep, F.posexplode("s").alias("i", "x"), "s").select(*keep, "x", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("y"))
 
-def _common_items(claims: DataFrame, names: list[str]) -> dict[tuple[str, str], int]:
-    """On how many items each pair of sources makes a claim; pairs without any are left out."""
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    if not pairs:
-        return {}
-    per_item = claims.groupBy("item").agg(F.collect_set("source").alias("has"))
-    counts = [F.count_if(F.array_contains("has", a) & F.array_contains("has", b)).alias(f"n{i}") for i, (a, b) in enumerate(pairs)]
-    return {p: n for p, n in zip(pairs, per_item.agg(*counts).collect()[0]) if n}
 
+def _common_items(claims: DataFrame) -> DataFrame:
+    """(a, b, n): on how many items each pair of sources makes a claim."""
+    per_item = claims.groupBy("item").agg(F.array_sort(F.collect_set(F.struct("source"))).alias("s")).where(F.size("s") > 1)
+    return _pairs_of(per_item).groupBy(F.col("x.source").alias("a"), F.col("y.source").alias("b")).agg(F.count("*").alias("n"))
 
-def _vote_weights(counts: list[tuple[str, str, float, float, float]], accuracy: dict[str, float]) -> dict[str, float]:
+
+def _vote_weights(counts: dict[tuple[str, str], tuple[float, float, float]], accuracy: dict[str, float]) -> dict[str, float]:
     """How much of each source's vote is its own: the less accurate of two dependent sources is taken for the copier."""
     own = {n: 1.0 for n in accuracy}
-    for a, b, true, false, differ in counts:
+    for (a, b), (true, false, differ) in counts.items():
         chance = _independence(true, false, differ, accuracy[a], accuracy[b])
         own[a if accuracy[a] < accuracy[b] else b] *= 1 - COPY_RATE * (1 - chance)
     return own
 
 
-def fuse(claims: DataFrame, *, claimant: str | None = None, rounds: int = 4, max_sources: int = 60) -> DataFrame:
+def fuse(claims: DataFrame, *, claimant: str | None = None, rounds: int = 4, max_sources: int = 1000) -> DataFrame:
     """(item, value, posterior, n_sources): the value of highest posterior of each item.
 
-    ``claims``: (item, source, value) and, where several records speak through one source, the column ``claimant`` that
-    tells them apart: each has a vote of its own. Every distinct value of an item is a candidate. Accuracy and copying
-    are those of the source. Dependence is first judged from agreement alone. Each round, votes are summed by item and
-    value (map-side combined); the likeliest values give new accuracies and, for each pair of sources, how often they
-    share true and false values, which gives the chance of copying; copied votes count less. Only numbers per source and
-    pair of sources reach the driver.
+    ``claims``: (item, source, value), item being of any type that can be grouped, and, where several records speak through
+    one source, the column ``claimant`` that tells them apart: each has a vote of its own. Every distinct value of an item
+    is a candidate. Accuracy and copying are those of the source. Dependence is first judged from agreement alone. Each
+    round, votes are summed by item and value (map-side combined); the likeliest values give new accuracies and, for each
+    pair of sources, how often they share true and false values, which gives the chance of copying; copied votes count
+    less. Only numbers per source and pair of sources reach the driver.
     """
     claims = claims.where("item is not null and source is not null and value is not null")
     once = claims.select("item", "source", "value", F.col(claimant or "source").alias("claimant")).distinct()
-    claims = cut(once.groupBy("item", "source", "value").agg(F.count("*").alias("n")))
-    of_source = claims.groupBy("item", "source").agg(F.sum("n").alias("__all"))
-    claims = cut(claims.join(of_source, ["item", "source"]).select("item", "source", "value", "n", (F.col("n") / F.col("__all")).alias("share")))
+    counted = cut(once.groupBy("item", "source", "value").agg(F.count("*").alias("n")))
+    of_source = counted.groupBy("item", "source").agg(F.sum("n").alias("__all"))
+    claims = cut(counted.join(of_source, ["item", "source"]).select("item", "source", "value", "n", (F.col("n") / F.col("__all")).alias("share")))
     names = sorted(r[0] for r in bounded_rows(claims.select("source").distinct(), max_sources, "the sources"))
-    common = _common_items(claims, names)
+    common = cut(_common_items(claims))
     accuracy = {n: 0.8 for n in names}
     weight = _vote_weights(_pair_counts(claims.withColumn("truth", F.lit(None).cast("string")), common), accuracy)
     best = None
     for _ in range(rounds):
-        votes_of = [x for n in names for x in (F.lit(n), F.lit(float(weight[n] * np.log(FALSE_VALUES * accuracy[n] / (1 - accuracy[n])))))]
-        vote = F.create_map(*(votes_of or [F.lit(""), F.lit(0.0)]))
-        votes = claims.groupBy("item", "value").agg(F.sum(F.col("n") * F.try_element_at(vote, F.col("source"))).alias("v"), F.count("*").alias("n_sources"))
+        votes_of = {n: weight[n] * float(np.log(FALSE_VALUES * accuracy[n] / (1 - accuracy[n]))) for n in names}
+        vote = F.coalesce(F.try_element_at(literal_map(votes_of, "double"), F.col("source")), F.lit(0.0))
         # The values of an item may be any number: they are summed, never listed.
+        votes = claims.groupBy("item", "value").agg(F.sum(F.col("n") * vote).alias("v"), F.count("*").alias("n_sources"))
         top = votes.groupBy("item").agg(F.max_by(F.struct("value", "n_sources"), F.struct("v", "value")).alias("top"), F.max("v").alias("most"))
         total = votes.select("item", "v").join(top, "item").groupBy("item").agg(F.first("top").alias("top"), F.first("most").alias("most"), F.sum(F.exp(F.col("v") - F.col("most"))).alias("sum"))
         best = cut(total.select("item", F.col("top.value").alias("value"), (1 / (F.col("sum") + F.exp(-F.col("most")) * FALSE_VALUES)).alias("posterior"), F.col("top.n_sources").alias("n_sources")))
@@ -160,11 +164,23 @@ def fuse(claims: DataFrame, *, claimant: str | None = None, rounds: int = 4, max
     return best
 
 
+def comparison_key(c: Column) -> Column:
+    """What two values must share to count as one: letters and digits of any script, without case and accents of the Latin
+    alphabet, with the signs that numbers and dates need; '' where nothing is left."""
+    return F.regexp_replace(F.translate(F.lower(c), ACCENTED, UNACCENTED), r"[^\p{L}\p{N}.,:/-]", "")
+
+
 def fused_readings(reads: DataFrame, values: DataFrame) -> DataFrame:
     """(doc_type, number_key, field_name, value, posterior, n_sources) by Bayesian fusion: every reading votes,
-    with the accuracy of the channel it came through."""
+    with the accuracy of the channel it came through.
+
+    Values are compared by ``comparison_key``; the value given is the most frequent printed form of the winning key, the
+    smallest of equals. Values whose key is empty make no claim.
+    """
+    group = ["doc_type", "number_key", "field_name"]
     rows = competing_values(reads, values).where("status is null or status <> 'duplicate'")
-    item = F.concat_ws("|", "doc_type", "number_key", "field_name")
-    claims = rows.select(item.alias("item"), "read_id", F.coalesce("source", "reader").alias("source"), F.regexp_replace(F.upper("value"), "[^A-Z0-9.-]", "").alias("value"))
-    parts = F.split("item", r"\|")
-    return fuse(claims, claimant="read_id").select(parts[0].alias("doc_type"), parts[1].alias("number_key"), parts[2].alias("field_name"), "value", "posterior", "n_sources")
+    rows = cut(rows.select(F.struct(*group).alias("item"), "read_id", F.coalesce("source", "reader").alias("source"), comparison_key(F.col("value")).alias("key"), "value").where("key <> ''").distinct())
+    best = fuse(rows.select("item", "read_id", "source", F.col("key").alias("value")), claimant="read_id")
+    forms = rows.groupBy("item", "key", "value").agg(F.count("*").alias("n")).groupBy("item", "key").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("form"))
+    out = best.join(forms.withColumnRenamed("key", "value"), ["item", "value"])
+    return out.select(*[F.col("item")[g].alias(g) for g in group], F.col("form").alias("value"), "posterior", "n_sources")

@@ -1,14 +1,14 @@
 import itertools
+import random
 
-from hypothesis import given, settings
-from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ledgerquarry.llm import canonical as C
 
 ENTRIES = [(1, "Gorpoluford Fasteners Pty Ltd", ["GFX"]), (2, "Gorpoluford Haulage Inc", None), (3, "Brinnivuton Tool Company Pty Ltd", ["Zanluvuworth Direct"]), (4, "Norgapostead Steel Supply Pty Ltd", None), (5, "Norgapostead Steel Services Ltd", None), (6, None, None)]
 NAMES = {
     "Gorpoluford Fasteners": 1, "GORPOLUFODR FASTENRS PTY LTD": 1, "gfx p/l": 1, "Gorp0luford Háulage - Depot 3": 2, "Fasteners, Gorpoluford": 1, "GorpolufordFasteners": 1, "Gorpoluford": -1, "Gorpoluford Catering Pty Ltd": -1,
-    "Brinnivuton Tool Co": 3, "Zanluvuworth Direct": 3, "Brinnivuton": 3, "Norgapostead Steel": -1, "Norgapostead Steel Svcs": 5, "-": -1, "Please remit to": -1, "GFY": -1, "The Brinnivuton Tool Comapny t/a Zanluvuworth Direct": 3, "x" * 5000: -1,
+    "Brinnivuton Tool Co": 3, "Zanluvuworth Direct": 3, "Brinnivuton": 3, "Norgapostead Steel": -1, "Norgapostead Steel Svcs": 5, "-": -1, "Please remit to": -1, "GFY": -1, "Sandlewood Farm - GFX": 1, "Nobody trading as Zanluvuworth Direct": 3, "The Brinnivuton Tool Comapny t/a Zanluvuworth Direct": 3, "x" * 5000: -1,
 }
 
 
@@ -29,16 +29,23 @@ def test_empty_list_and_table(spark):
     assert C.map_names(df.where("false"), "read_id", "supplier_name", entries(spark), "supplier_id", "name", "aliases").count() == 0
 
 
-@given(st.text("abc", min_size=8, max_size=12), st.text("abc", min_size=6, max_size=12))
-@settings(max_examples=200, deadline=None)
-def test_deletion_forms_meet_within_two_edits(a, b):
+def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
-    if row[-1] <= 2:
-        assert C.deletions(a, 2) & C.deletions(b, 2)
+    return row[-1]
+
+
+def test_deletion_forms_meet_within_two_edits(spark):
+    rng = random.Random(2)
+    pairs = [("".join(rng.choice("abc") for _ in range(rng.randint(1, 9))), "".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))) for _ in range(600)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    meet = df.select("a", "b", F.arrays_overlap(C.deletion_forms(F.col("a"), F.lit(2)), C.deletion_forms(F.col("b"), F.lit(2))).alias("m")).collect()
+    assert all(r.m for r in meet if distance(r.a, r.b) <= 2) and sum(distance(*p) <= 2 for p in pairs) > 50
+    one = spark.range(1).select(F.size(C.deletion_forms(F.lit("abcd"), F.lit(0))).alias("a"), F.size(C.deletion_forms(F.lit("abcd"), F.lit(1))).alias("b"), F.size(C.deletion_forms(F.lit("abcd"), F.lit(2))).alias("c")).collect()[0]
+    assert tuple(one) == (1, 5, 11)
 
 
 def test_repair_equals_brute_force(spark):

@@ -53,7 +53,19 @@ def test_sentences():
     assert [s.strip() for s in S.sentences(text)] == ["One is here.", "Can you? The two still needs it.", "- list item (x)", "Three!", "quoted"]
 
 
-def test_logistic():
-    x = np.linspace(0, 1, 200)
-    a, b = S.fit_logistic(x, (x > 0.3).astype(float))
-    assert a > 0 and abs(-b / a - 0.3) < 0.05
+def test_slope():
+    rng = np.random.default_rng(1)
+    x = rng.uniform(-0.5, 0.5, 4000)
+    y = (rng.random(4000) < 1 / (1 + np.exp(-15 * x))).astype(float)
+    assert abs(S.fit_slope(x, y) - 15) < 1.5
+    assert S.fit_slope(x[:0], y[:0]) == 12.0 and S.fit_slope(x, np.ones(4000)) == 12.0
+
+
+def test_language_by_the_whole_text():
+    words = ["le la les et une est chez pour du"] * 2 + ["the and of to was for has this that with"] * 300
+    docs = [(1, ". ".join(words), None), (2, "der die das und ist", None)]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": t, "lang": lang, "labels": None, "held": None} for i, t, lang in docs], schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("labels", pa.list_(pa.int32())), ("held", pa.list_(pa.int32()))]))
+    out = next(iter(S._featurise(16, ["en", "fr", "de"])(iter([batch]))))
+    assert out.column("lang").to_pylist() == [0, 2]
