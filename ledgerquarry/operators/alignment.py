@@ -53,6 +53,20 @@ def align_lines(known: DataFrame, read: DataFrame, group: str, line: str, score:
     return greedy_pairs(scored, group, f"k_{line}", f"r_{line}", "score")
 
 
+def align_documents(known: DataFrame, found: DataFrame, file: str, *, same_number: int = 100) -> DataFrame:
+    """(file, k_doc, f_doc, score): known documents and those read from the same file, one to one, best first.
+
+    Both sides: file, doc, pages array<int>, number. The score is the number of pages they share, and ``same_number`` more
+    where their numbers are the same. Pages and numbers meet in equi-joins; pairs that share nothing are never formed.
+    """
+    pages = lambda d, n: d.select(file, F.col("doc").alias(n), F.explode(F.array_distinct("pages")).alias("page"))
+    numbers = lambda d, n: d.where("number <> ''").select(file, F.col("doc").alias(n), "number").distinct()
+    by_page = pages(known, "k_doc").join(pages(found, "f_doc"), [file, "page"]).groupBy(file, "k_doc", "f_doc").agg(F.count("*").alias("score"))
+    by_number = numbers(known, "k_doc").join(numbers(found, "f_doc"), [file, "number"]).select(file, "k_doc", "f_doc", F.lit(same_number).cast("bigint").alias("score")).distinct()
+    scored = by_page.unionByName(by_number).groupBy(file, "k_doc", "f_doc").agg(F.sum("score").alias("score"))
+    return greedy_pairs(scored, file, "k_doc", "f_doc", "score")
+
+
 def exact_packets(truth: DataFrame, found: DataFrame, file: str, pages: str) -> DataFrame:
     """(file, exact): whether the found documents of a file are the true ones, as sets of page sets."""
     as_set = lambda d, n: d.groupBy(file).agg(F.array_sort(F.collect_set(F.array_sort(pages))).alias(n))

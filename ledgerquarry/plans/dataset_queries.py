@@ -177,4 +177,92 @@ SELECT CASE field_name WHEN 'po_reference' THEN 'po_line' ELSE 'model_read' END
 FROM ({_CASCADE}) GROUP BY ALL
 """
 
-SQL = {"p2_found": _P2, "p3_found": _P3, "p3_cascade": _CASCADE, "p3_by_period": _BY_PERIOD}
+# Nested records: JSON by its functions, XML by the text between tags.
+def _open(x: str) -> str:
+    return f"CASE WHEN json_type({x}) = 'VARCHAR' AND json_valid({x} ->> '$') THEN CAST({x} ->> '$' AS JSON) ELSE {x} END"
+
+
+def _list(x: str) -> str:
+    return f"CASE json_type({x}) WHEN 'ARRAY' THEN CAST({x} AS JSON[]) WHEN 'OBJECT' THEN [{x}] ELSE [] END"
+
+
+def _json_level(name: str, source: str, inner: str, path: str) -> str:
+    """CTEs: the elements of one level, with their paths; texts of JSON are opened, what is no object gives no row."""
+    return f"""
+{name}0 AS (SELECT rec_id, {path} AS above, {_open(_open(inner))} AS v FROM {source}),
+{name}1 AS (SELECT rec_id, above, {_list("v")} AS items FROM {name}0),
+{name}2 AS (SELECT rec_id, above, unnest(items) AS v, generate_subscripts(items, 1) AS i FROM {name}1),
+{name} AS (SELECT rec_id, CASE WHEN above = '' THEN '' ELSE above || '.' END || i AS path, e FROM (SELECT rec_id, above, i, {_open(_open("v"))} AS e FROM {name}2) WHERE json_type(e) = 'OBJECT')"""
+
+
+def _tag(names: str) -> str:
+    return rf"<(?:[A-Za-z0-9_]+:)?(?:{names})(?:\s[^>]*)?>.*?</(?:[A-Za-z0-9_]+:)?(?:{names})>"
+
+
+def _inner(x: str, *tags: str) -> str:
+    """Text of the first element along the tags, entities opened; null if none."""
+    pattern = r"\s*".join(rf"<(?:[A-Za-z0-9_]+:)?{t}(?:\s[^>]*)?>" for t in tags) + r"\s*([^<]*?)\s*<"
+    return f"nullif(replace(replace(replace(regexp_extract({x}, '{pattern}', 1, 's'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '')"
+
+
+def _xml_level(name: str, source: str, tags: str, path: str) -> str:
+    found = f"regexp_extract_all(e, '{_tag(tags)}', 0, 's')"
+    return f"""
+{name}1 AS (SELECT rec_id, {path} AS above, {found} AS items FROM {source}),
+{name} AS (SELECT rec_id, above || '.' || i AS path, e FROM (SELECT rec_id, above, unnest(items) AS e, generate_subscripts(items, 1) AS i FROM {name}1))"""
+
+
+_WHOLE_UBL = r"regexp_matches(payload, '^[\s\x{FEFF}]*(<\?[^>]*\?>\s*)?<(?:[A-Za-z0-9_]+:)?(Invoice|CreditNote)[\s>]') AND regexp_matches(payload, '</(?:[A-Za-z0-9_]+:)?(Invoice|CreditNote)\s*>\s*$')"
+_LEVELS = (
+    "WITH j AS (SELECT rec_id, CAST(payload AS JSON) AS p FROM raw_record WHERE fmt = 'json' AND json_valid(payload)),"
+    + f"\nroot AS (SELECT rec_id, {_open(_open('p'))} AS e FROM j),"
+    + _json_level("jd", "root", "CASE WHEN json_type(e) = 'OBJECT' AND json_exists(e, '$.documents') THEN e -> 'documents' ELSE e END", "''") + ","
+    + _json_level("jl", "jd", "e -> 'lines'", "path") + "," + _json_level("jv", "jl", "e -> 'deliveries'", "path") + "," + _json_level("jt", "jv", "e -> 'lots'", "path")
+    + f",\nxd AS (SELECT rec_id, '1' AS path, payload AS e FROM raw_record WHERE fmt = 'ubl_xml' AND {_WHOLE_UBL}),"
+    + _xml_level("xl", "xd", "InvoiceLine|CreditNoteLine", "path") + "," + _xml_level("xv", "xl", "Delivery", "path") + "," + _xml_level("xt", "xv", "GoodsItem", "path")
+)
+_FIRST_ID = r"nullif(regexp_extract(e, '^<[^>]*>\s*<(?:[A-Za-z0-9_]+:)?ID>\s*([^<]*?)\s*<', 1, 's'), '')"
+_LOT = _inner("e", "LotNumberID")
+_P4 = f"""{_LEVELS}
+SELECT rec_id, 'line' AS node_kind, path AS node_path, coalesce(e ->> 'sku', '') AS node_key FROM jl
+UNION ALL SELECT rec_id, 'delivery', path, coalesce(e ->> 'docket', '') FROM jv
+UNION ALL SELECT rec_id, 'lot', path, coalesce(e ->> 'heat', '') FROM jt
+UNION ALL SELECT rec_id, 'line', path, coalesce({_inner("e", "SellersItemIdentification", "ID")}, '') FROM xl
+UNION ALL SELECT rec_id, 'delivery', path, coalesce({_FIRST_ID}, '') FROM xv
+UNION ALL SELECT rec_id, 'lot', path, coalesce({_LOT}, '') FROM xt"""
+_P4_CHILDREN = f"SELECT node_kind, CASE node_kind WHEN 'line' THEN 'document' WHEN 'delivery' THEN 'line' ELSE 'delivery' END AS parent_kind, count(*) AS n_nodes, count(DISTINCT (rec_id, regexp_replace(node_path, '\\.[0-9]+$', ''))) AS n_parents FROM ({_P4}) GROUP BY 1, 2"
+_P4_LOTS = f"""{_LEVELS}
+SELECT rec_id, path AS node_path, regexp_replace(path, '\\.[0-9]+$', '') AS parent_path, nullif(e ->> 'heat', '') AS heat, nullif(e ->> 'qty', '') AS qty FROM jt
+UNION ALL SELECT rec_id, path, regexp_replace(path, '\\.[0-9]+$', ''), {_LOT}, {_inner("e", "Quantity")} FROM xt"""
+_UNIT = r"""nullif(regexp_extract(e, '<(?:[A-Za-z0-9_]+:)?(?:Invoiced|Credited)Quantity\s[^>]*unitCode="([^"]*)"', 1), '')"""
+_P4_LINES = f"""{_LEVELS},
+d AS (
+  SELECT rec_id, path AS parent_path, nullif(e -> 'fields' ->> 'doc_number', '') AS doc_number, nullif(e ->> 'doc_type', '') AS doc_type FROM jd
+  UNION ALL SELECT rec_id, path, {_inner("e", "ID")}, CASE WHEN regexp_matches(e, '<(?:[A-Za-z0-9_]+:)?CreditNote[\\s>]') THEN 'CreditNote' ELSE 'Invoice' END FROM xd),
+l AS (
+  SELECT rec_id, path AS node_path, {", ".join(f"nullif(e ->> '{c}', '') AS {c}" for c in ("sku", "description", "quantity", "unit", "unit_price", "amount"))} FROM jl
+  UNION ALL SELECT rec_id, path, {_inner("e", "SellersItemIdentification", "ID")}, {_inner("e", "Name")}, {_inner("e", "(?:Invoiced|Credited)Quantity")}, {_UNIT}, {_inner("e", "PriceAmount")}, {_inner("e", "LineExtensionAmount")} FROM xl)
+SELECT l.*, d.parent_path, d.doc_number, d.doc_type FROM l JOIN d ON l.rec_id = d.rec_id AND d.parent_path = regexp_replace(l.node_path, '\\.[0-9]+$', '')"""
+
+_PAYABLE, _INCLUSIVE = _inner("e", "PayableAmount"), _inner("e", "TaxInclusiveAmount")
+
+
+def _part(tag: str) -> str:
+    return f"regexp_extract(e, '{_tag(tag)}', 0, 's')"
+
+
+_UBL_DOCUMENTS = f"WITH xd AS (SELECT rec_id, '1' AS path, payload AS e FROM raw_record WHERE {_WHOLE_UBL})"
+_UBL_HEADERS = f"""{_UBL_DOCUMENTS}
+SELECT rec_id, CASE WHEN regexp_matches(e, '<(?:[A-Za-z0-9_]+:)?CreditNote[\\s>]') THEN 'credit_note' ELSE 'supplier_invoice' END AS doc_type, {_inner("e", "ID")} AS doc_number, {_inner("e", "IssueDate")} AS date, {_inner("e", "DueDate")} AS due_date,
+  {_inner("e", "OrderReference", "ID")} AS po_reference, {_inner(_part("BillingReference"), "ID")} AS original_invoice, {_inner(_part("AccountingSupplierParty"), "RegistrationName")} AS supplier_name, {_inner(_part("AccountingSupplierParty"), "CompanyID")} AS supplier_abn,
+  {_inner(_part("AccountingCustomerParty"), "RegistrationName")} AS buyer_name, {_inner(_part("LegalMonetaryTotal"), "LineExtensionAmount")} AS subtotal, {_inner(_part("TaxTotal"), "TaxAmount")} AS gst,
+  CASE WHEN coalesce(TRY_CAST({_PAYABLE} AS DOUBLE), 0) <> 0 THEN {_PAYABLE} ELSE {_INCLUSIVE} END AS total
+FROM xd"""
+_UBL_LINES = f"""{_UBL_DOCUMENTS},{_xml_level("xl", "xd", "InvoiceLine|CreditNoteLine", "path")}
+SELECT rec_id, CAST(string_split(path, '.')[2] AS INTEGER) AS line_no, {_inner("e", "SellersItemIdentification", "ID")} AS sku, {_inner("e", "Name")} AS description, {_inner("e", "(?:Invoiced|Credited)Quantity")} AS quantity, {_inner("e", "PriceAmount")} AS unit_price, {_inner("e", "LineExtensionAmount")} AS amount
+FROM xl"""
+
+SQL = {
+    "p2_found": _P2, "p3_found": _P3, "p3_cascade": _CASCADE, "p3_by_period": _BY_PERIOD, "p4_found": _P4, "p4_children": _P4_CHILDREN, "p4_lots": _P4_LOTS, "p4_lines": _P4_LINES,
+    "ubl_headers": _UBL_HEADERS, "ubl_lines": _UBL_LINES,
+}

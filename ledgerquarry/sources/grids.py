@@ -94,22 +94,29 @@ def docx_rows(content: bytes) -> Rows:
 READERS = {"csv": csv_rows, "xlsx": xlsx_rows, "docx": docx_rows, "text": lambda b: [(1, split_line(x)) for x in b.decode("utf-8", "replace").splitlines()]}
 
 
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for ref, kind, content in zip(pdf["ref"], pdf["kind"], pdf["content"]):
-            try:
-                found = READERS[kind](bytes(content))
-            except Exception:  # unreadable: no rows; the item itself stays with its kind
-                found = []
-            rows += [(ref, page, n, cells) for n, (page, cells) in enumerate(found)]
-        if rows:
-            yield pd.DataFrame(rows, columns=["ref", "page", "row_no", "cells"])
-
-
-def grid_rows(items: DataFrame) -> DataFrame:
-    """``GRID_SCHEMA`` of items (ref, kind, content) whose kind has a reader; row_no runs over all pages of an item."""
-    return items.where(F.col("kind").isin(*READERS)).select("ref", "kind", "content").mapInPandas(_decode, GRID_SCHEMA)
+def _decoder(readers):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for ref, kind, content in zip(pdf["ref"], pdf["kind"], pdf["content"]):
+                try:
+                    found = readers[kind](bytes(content))
+                except Exception:  # unreadable: no rows; the item itself stays with its kind
+                    found = []
+                rows += [(ref, page, n, cells) for n, (page, cells) in enumerate(found)]
+            if rows:
+                yield pd.DataFrame(rows, columns=["ref", "page", "row_no", "cells"])
+
+    return run
+
+
+def grid_rows(items: DataFrame, readers: dict | None = None) -> DataFrame:
+    """``GRID_SCHEMA`` of items (ref, kind, content) whose kind has a reader; row_no runs over all pages of an item.
+
+    ``readers`` adds to ``READERS``, or replaces them: kind -> function from bytes to (page, cells) rows.
+    """
+    use = {**READERS, **(readers or {})}
+    return items.where(F.col("kind").isin(*use)).select("ref", "kind", "content").mapInPandas(_decoder(use), GRID_SCHEMA)
 
 
 def text_cells(docs: DataFrame, ref: str, text: str) -> DataFrame:

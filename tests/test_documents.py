@@ -1,13 +1,12 @@
-import itertools
 import random
-from datetime import date, datetime
+from datetime import date
 
 from pyspark.sql import functions as F
 
 from ledgerquarry.functions import text as T
-from ledgerquarry.operators import copies, extraction, fields, geometry, links, orphans, segments, shredding, timestamps, titles
+from ledgerquarry.operators import alignment, copies, extraction, fields, geometry, links, orphans, segments, shredding, timestamps, titles
 from ledgerquarry.runtime import cut, drop_cuts, hot_keys, join_spread, shared_dir
-from ledgerquarry.sources import sinks, ubl
+from ledgerquarry.sources import grids, readings, sinks, ubl
 
 
 def test_cut_survives_and_is_removed(spark):
@@ -215,3 +214,36 @@ def test_names_and_numbers(spark):
     df = spark.createDataFrame([("ACME Steel Pty. Ltd.", "ABN 51824753556, 51 824 753 557"), ("Pty Ltd", None), (None, "x")], "n string, t string")
     got = [(r.k, r.a) for r in df.select(T.name_key(F.col("n")).alias("k"), T.find_abns(F.col("t")).alias("a")).collect()]
     assert got == [("acme steel", ["51 824 753 556"]), ("pty ltd", []), ("", [])]
+
+
+def test_documents_are_aligned(spark):
+    docs = lambda *rows: spark.createDataFrame(list(rows), "f string, doc bigint, pages array<int>, number string")
+    known = docs(("a", 1, [1, 2], "X1"), ("a", 2, [3], "X2"), ("a", 3, [4], ""), ("b", 4, [1], None))
+    found = docs(("a", 11, [1], ""), ("a", 12, [2, 3], "X2"), ("a", 13, [4, 4], "X9"), ("c", 14, [1], "X1"))
+    assert {(r.k_doc, r.f_doc, r.score) for r in alignment.align_documents(known, found, "f").collect()} == {(2, 12, 101), (1, 11, 1), (3, 13, 1)}
+
+
+def test_readings_and_context(spark, tmp_path):
+    import json
+
+    raws = ['{"doc_type": "statement", "page_no": "1", "page_of": "2", "fields": {"total": "5", "date": "", "gst": null}, "lines": [{"sku": "a"}, {"sku": ""}]}', '{"doc_type": "poem", "page_no": "1", "page_of": "x"}', "not json", None]
+    got = [r.x for r in spark.createDataFrame([(r,) for r in raws], "raw string").select(readings.page_reading(F.col("raw")).alias("x")).collect()]
+    assert [(x.doc_type, x.page_n, x.page_m, x.fields, x.lines) for x in got] == [("statement", 1, 2, {"total": "5"}, [{"sku": "a"}]), *[("unknown", None, None, {}, [])] * 3]
+
+    class Echo:
+        def read_page(self, image):
+            return json.dumps({"doc_type": "remittance", "fields": {"n": image.decode()}})
+
+    pages = spark.createDataFrame([("a", 1, b"one"), ("a", 2, b"\xff")], "ref string, page int, content binary")
+    assert [(r.page, r.reading.doc_type, r.reading.fields) for r in readings.read_pages(pages, Echo).orderBy("page").collect()] == [(1, "remittance", {"n": "one"}), (2, "unknown", {})]
+    (tmp_path / "context.json").write_text(json.dumps({"buyer": {"name": "B", "abn": "1"}, "suppliers": [{"name": "S"}, {"name": "T", "aliases": ["U"]}]}, indent=1))
+    buyer, suppliers = readings.load_context(spark, str(tmp_path / "context.json"))
+    assert [tuple(r) for r in buyer.collect()] == [("B", "1")] and [tuple(r) for r in suppliers.collect()] == [(1, "S", None, None), (2, "T", None, ["U"])]
+    items = spark.createDataFrame([("a", "pipes", b"x|y")], "ref string, kind string, content binary")
+    assert grids.grid_rows(items, {"pipes": lambda b: [(1, b.decode().split("|"))]}).collect()[0].cells == ["x", "y"]
+
+
+def test_names_on_pages(spark):
+    page = "acme steel and north shore supplies invoice gorpo luford".split()
+    df = spark.createDataFrame([("Acme Steel Pty Ltd", page), ("North Shore Building Supplies Group", page), ("Nobody Steel Works", page), ("Gorpoluford", page), ("x", None)], "n string, p array<string>")
+    assert [r.x for r in df.select(T.name_on_page(F.col("n"), F.col("p")).alias("x")).collect()] == [True, False, False, True, None]
