@@ -76,4 +76,20 @@ c AS (
 SELECT doc_type, number_key, field_name, read_id FROM c WHERE rn = 1
 """
 
-SQL = {"p7_found": _P7}
+_WIDE = "".join(chr(c + 0xFEE0) for c in [*range(48, 58), *range(65, 91), *range(97, 123)])
+_PLAIN = "".join(chr(c) for c in [*range(48, 58), *range(65, 91), *range(97, 123)])
+
+
+def _letters_and_digits(c: str) -> str:
+    """Compatibility forms that occur in the tables (wide letters, two ligatures, sharp s) folded, case ignored."""
+    return f"regexp_replace(lower(translate(replace(replace(replace({c}, 'ß', 'ss'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '{_WIDE}', '{_PLAIN}')), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+
+
+_P9 = f"""
+WITH i AS (SELECT item_id, list_transform(regexp_split_to_array(trim(text), '\\s+'), lambda w: {_letters_and_digits("w")}) AS w FROM eval_item WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], '') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 1))) AS k FROM i)),
+d AS (SELECT doc_id, {_letters_and_digits("text")} AS t FROM documents WHERE text IS NOT NULL)
+SELECT DISTINCT doc_id, item_id FROM d JOIN s ON contains(d.t, s.s) WHERE s.s <> ''
+"""
+
+SQL = {"p7_found": _P7, "p9_found": _P9}

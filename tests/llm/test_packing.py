@@ -60,6 +60,10 @@ def test_pack(spark):
     assert max(used.values()) <= 64 and used[-1] == 0 and [r.container for r in got if r.doc_id == 31] == [-1]
     pieces = Counter(r.doc_id for r in got)
     assert all(n == 1 for i, n in pieces.items() if i and want[i] <= 64) and pieces[30] == -(-want[30] // 64)
+    salted = Counter()
+    for r in P.pack(df, capacity=64, rows_per_salt=3).collect():  # a frequent length is ranked in many parts
+        salted[r.container] += r.n_tokens
+    assert sorted(salted.values()) == sorted(used.values()) and set(salted) == set(used)
     assert P.pack(df.where("false"), capacity=64).count() == 0
     with pytest.raises(ValueError):
         P.pack(df, capacity=0)
