@@ -73,7 +73,7 @@ def cut(df: DataFrame) -> DataFrame:
     folder = f"{shared_dir(spark)}/quarry-{app}"
     if app not in _cut_apps:
         _cut_apps.add(app)
-        atexit.register(drop_cuts, spark)
+        atexit.register(_drop, spark, folder)
     path = f"{folder}/{next(_serial):06d}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -81,11 +81,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 def drop_cuts(spark: SparkSession) -> None:
     """Remove every table ``cut`` wrote in this application; frames that read them are void afterwards."""
+    _drop(spark, f"{shared_dir(spark)}/quarry-{spark.sparkContext.applicationId}")
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
     try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quarry-{spark.sparkContext.applicationId}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session is gone: what is left lies in the shared folder
-        pass
+    except Exception:  # the session is gone; a folder of the file system can still be removed
+        if folder.startswith(("/", "file:")):
+            shutil.rmtree("/" + folder.removeprefix("file:").lstrip("/"), ignore_errors=True)
 
 
 #: A key with more than a thousandth of all rows is hot. So there are under a thousand hot keys, whatever the data.
