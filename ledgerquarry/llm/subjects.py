@@ -118,6 +118,7 @@ class Block:
         self.lang = langs[start:stop]
         self.words = np.asarray(batch.column("words").values)[w_off[start] : w_off[stop]]
         self.word_lang = np.repeat(self.lang, np.diff(w_off[start : stop + 1]))
+        self.at: np.ndarray | None = None
 
 
 def blocks(batch: pa.RecordBatch) -> Iterator[Block]:
@@ -138,11 +139,15 @@ class Weights:
         self.bits, self.rows = bits, np.concatenate([np.zeros((1, rows.shape[1]), dtype=np.float32), rows])
         self.place = np.zeros(n_lang << bits, dtype=np.int32)
         self.place[at] = np.arange(1, len(at) + 1, dtype=np.int32)
+        self.buckets = np.concatenate([[-1], at]).astype(np.int32)
         if self.rows.nbytes + self.place.nbytes > MODEL_BYTES:
             raise ValueError(f"the model takes {self.rows.nbytes + self.place.nbytes} bytes, over MODEL_BYTES; use fewer bits")
 
-    def of(self, lang: np.ndarray, words: np.ndarray) -> np.ndarray:
-        return self.rows[self.place[(lang << self.bits) + words]]
+    def places(self, b: Block) -> np.ndarray:
+        """The rows of a block's words; looked up once for scores and counts."""
+        if b.at is None:
+            b.at = self.place[(b.word_lang << self.bits) + b.words]
+        return b.at
 
 
 def posteriors(weights: Weights, b: Block, labels: list[list[int]] | None, no_subject: float = NO_SUBJECT) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +155,7 @@ def posteriors(weights: Weights, b: Block, labels: list[list[int]] | None, no_su
     which is the prior of its sentences."""
     k = weights.rows.shape[1]
     starts = np.concatenate([[0], np.cumsum(b.lengths)[:-1]])
-    scores = np.add.reduceat(weights.of(b.word_lang, b.words), starts, axis=0).astype(np.float64)
+    scores = np.add.reduceat(weights.rows[weights.places(b)], starts, axis=0).astype(np.float64)
     given = np.ones((b.n_docs, k))
     for d, ls in enumerate(labels or ()):
         if ls:
@@ -175,34 +180,38 @@ def _count(bits: int, k: int, n_lang: int, model, no_subject: float):
     size = 1 << bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_lang: dict[int, np.ndarray] = {}  # the sums of the languages this task meets
+        # Sums by bucket: of the buckets the model knows, which are all there are, or, before there is a model, by language.
+        sums: dict[int, np.ndarray] = {} if model is None else {-1: np.zeros((k + 1, len(model.value.buckets)))}
+
+        def add(key: int, width: int, at: np.ndarray, p: np.ndarray, sentence: np.ndarray) -> None:
+            total = sums.setdefault(key, np.zeros((k + 1, width)))
+            total[0] += np.bincount(at, minlength=width)
+            for s in np.flatnonzero(p.any(axis=0)):
+                total[s + 1] += np.bincount(at, weights=p[sentence, s], minlength=width)
+
         for batch in batches:
             labels = batch.column("labels").to_pylist()
             for b in blocks(batch):
                 own = [ls or [] for ls in labels[b.start : b.start + b.n_docs]]
+                sentence = np.repeat(np.arange(len(b.docs)), b.lengths)
                 if model is None:
                     share = np.zeros((b.n_docs, k))
                     for d, ls in enumerate(own):
                         if ls:
                             share[d, ls] = 1.0 / len(ls)
-                    p = share[b.docs]
+                    for lang in np.unique(b.lang):
+                        mine = b.word_lang == lang
+                        add(int(lang), size, b.words[mine], share[b.docs], sentence[mine])
                 else:
                     p, mix = posteriors(model.value, b, own, no_subject)
                     p = p + (1 - p.sum(axis=1, keepdims=True)) * mix[b.docs]
-                sentence = np.repeat(np.arange(len(b.docs)), b.lengths)
-                for lang in np.unique(b.lang):
-                    total = by_lang.setdefault(int(lang), np.zeros((k + 1, size)))
-                    mine = b.word_lang == lang
-                    at, of = b.words[mine], sentence[mine]
-                    total[0] += np.bincount(at, minlength=size)
-                    for s in range(k):
-                        if p[:, s].any():
-                            total[s + 1] += np.bincount(at, weights=p[of, s], minlength=size)
-        for lang, total in by_lang.items():
+                    add(-1, len(model.value.buckets), model.value.places(b), p, sentence)
+        for key, total in sums.items():
             used = np.flatnonzero(total[0])
             for i in range(0, len(used), 20_000):
                 part = used[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array((part + (lang << bits)).astype(np.int32)), *[pa.array(total[s, part]) for s in range(k + 1)]], ["bucket", *[f"c{s}" for s in range(k + 1)]])
+                bucket = part + (key << bits) if model is None else model.value.buckets[part]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), *[pa.array(total[s, part]) for s in range(k + 1)]], ["bucket", *[f"c{s}" for s in range(k + 1)]])
 
     return run
 
