@@ -200,9 +200,9 @@ def _tag(names: str) -> str:
 
 
 def _inner(x: str, *tags: str) -> str:
-    """Text of the first element along the tags, entities opened; null if none."""
-    pattern = r"\s*".join(rf"<(?:[A-Za-z0-9_]+:)?{t}(?:\s[^>]*)?>" for t in tags) + r"\s*([^<]*?)\s*<"
-    return f"nullif(replace(replace(replace(regexp_extract({x}, '{pattern}', 1, 's'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '')"
+    """Text of the first element along the tags, marked sections and entities opened; null if none."""
+    pattern = r"\s*".join(rf"<(?:[A-Za-z0-9_]+:)?{t}(?:\s[^>]*)?>" for t in tags) + r"\s*(?:<!\[CDATA\[)?\s*([^<\]]*)(?:\]\]>)?\s*<"
+    return f"nullif(trim(replace(replace(replace(regexp_extract({x}, '{pattern}', 1, 's'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '')"
 
 
 def _xml_level(name: str, source: str, tags: str, path: str) -> str:
