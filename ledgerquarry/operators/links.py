@@ -6,11 +6,13 @@ candidates all stay under ``least`` has no link; ties go to the smaller order; r
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerquarry.functions.text import line_match, supplier_score
-from ledgerquarry.runtime import cut
+from ledgerquarry.runtime import cut, drop_cut
 
 # The weights of supplier, value, time and lines in a link's score, and the scores of the two date windows.
 WEIGHTS = {"supplier": 0.35, "value": 0.25, "time": 0.15, "lines": 0.25}
@@ -56,14 +58,24 @@ def candidate_score(supplier: Column, doc_c: Column, order_c: Column, days: Colu
     return F.round(total, 6)
 
 
-def scored_links(docs: DataFrame, lines: DataFrame, orders: DataFrame, order_lines: DataFrame, *, least: float = 0.6) -> DataFrame:
+#: Candidate pairs that are compared in one pass.
+PASS_PAIRS = 4_000_000
+
+
+def scored_links(docs: DataFrame, lines: DataFrame, orders: DataFrame, order_lines: DataFrame, *, least: float = 0.6, pass_pairs: int = PASS_PAIRS) -> DataFrame:
     """(doc_id, po, score): the order with the best ``candidate_score`` of at least ``least``.
 
     ``docs``: doc_id, supplier_key, net_c, day; ``orders``: po, supplier_key, net_c, day. Candidates are the orders that
     have the document's supplier and its value to the cent, or its supplier in the month of the document or one of the
     three before, or the code of one of its lines: equi-joins whose blocks grow with what a supplier orders in a month,
-    not with the table.
+    not with the table. Documents alike in all that is compared are compared once; of such orders only the smallest can be
+    the best. Documents are taken in passes of about ``pass_pairs`` candidates, so that what is shuffled for one is freed
+    before the next.
     """
+    doc_forms = _alike(docs, lines, "doc_id", ("line_no", "sku", "description"))
+    order_forms = _alike(orders, order_lines, "po", ("po_sku", "po_description"))
+    docs, lines = (cut(d.join(doc_forms.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")) for d in (docs, lines))
+    orders, order_lines = (cut(d.join(order_forms.select(F.col("first").alias("po")), "po", "left_semi")) for d in (orders, order_lines))
     code = lambda c: F.regexp_replace(F.upper(F.coalesce(F.col(c), F.lit(""))), "[^A-Z0-9]", "")
     month = lambda c: F.year(c) * 12 + F.month(c)
     sides = []
@@ -73,15 +85,35 @@ def scored_links(docs: DataFrame, lines: DataFrame, orders: DataFrame, order_lin
         by_month = F.when((F.col("supplier_key") != "") & F.col("day").isNotNull(), F.transform(months, lambda m: F.concat_ws("|", F.lit("m"), "supplier_key", m.cast("string"))))
         keyed = d.select(key, F.explode(F.concat(keys, F.coalesce(by_month, F.array().cast("array<string>")))).alias("key")).where("key is not null")
         coded = own.select(key, code(line_sku).alias("c")).where("c <> ''").select(key, F.concat_ws("|", F.lit("c"), "c").alias("key"))
-        sides.append(keyed.unionByName(coded).distinct())
-    met = cut(sides[0].join(sides[1], "key").select("doc_id", "po").distinct())
+        sides.append(cut(keyed.unionByName(coded).distinct()))
+    counts = sides[0].groupBy("key").agg(F.count("*").alias("n")).join(sides[1].groupBy("key").agg(F.count("*").alias("m")), "key")
+    passes = 1 + counts.agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0))).collect()[0][0] // pass_pairs
+    best = []
+    for i in range(passes):
+        mine = [d.where(F.pmod(F.xxhash64("doc_id"), F.lit(passes)) == i) for d in (sides[0], docs, lines)]
+        best.append(_best_of(mine[0], sides[1], mine[1], mine[2], orders, order_lines, least))
+    out = reduce(DataFrame.unionByName, best).withColumnRenamed("doc_id", "first").join(doc_forms, "first")
+    return out.select(F.explode("members").alias("doc_id"), "po", "score")
+
+
+def _alike(heads: DataFrame, lines: DataFrame, key: str, parts: tuple[str, ...]) -> DataFrame:
+    """(first, members): the rows of ``heads`` that agree in all but ``key``, and in the ``parts`` of their lines."""
+    own = lines.groupBy(key).agg(F.array_sort(F.collect_set(F.struct(*parts))).alias("own"))
+    content = [c for c in heads.columns if c != key]
+    return cut(heads.join(own, key, "left").groupBy(*content, "own").agg(F.min(key).alias("first"), F.collect_set(key).alias("members")))
+
+
+def _best_of(doc_keys: DataFrame, order_keys: DataFrame, docs: DataFrame, lines: DataFrame, orders: DataFrame, order_lines: DataFrame, least: float) -> DataFrame:
+    met = cut(doc_keys.join(order_keys, "key").select("doc_id", "po").distinct())
     fits = met.join(lines.select("doc_id", "line_no", "sku", "description"), "doc_id").join(order_lines, "po").where(F.round(line_match(F.col("sku"), F.col("description"), F.col("po_sku"), F.col("po_description")), 6) >= 0.6)
     hits = fits.groupBy("doc_id", "po").agg(F.count_distinct("line_no").alias("hits"))
     n_lines = lines.groupBy("doc_id").agg(F.count_distinct("line_no").alias("n"))
     both = met.join(docs, "doc_id").join(orders.select("po", *[F.col(c).alias(f"o_{c}") for c in ("supplier_key", "net_c", "day")]), "po").join(hits, ["doc_id", "po"], "left").join(n_lines, "doc_id", "left")
     score = candidate_score(supplier_score(F.col("supplier_key"), F.col("o_supplier_key")), F.coalesce("net_c", F.lit(0)), F.coalesce("o_net_c", F.lit(0)), F.datediff("day", "o_day"), F.try_divide("hits", "n"))
     best = both.select("doc_id", "po", score.alias("score")).where(F.col("score") >= least).groupBy("doc_id").agg(F.min_by(F.struct("po", "score"), F.struct(-F.col("score"), "po")).alias("b"))
-    return best.select("doc_id", "b.po", "b.score")
+    out = cut(best.select("doc_id", "b.po", "b.score"))
+    drop_cut(met)
+    return out
 
 
 def balances(invoices: DataFrame, credits: DataFrame, payments: DataFrame) -> DataFrame:

@@ -139,6 +139,18 @@ def test_settled_days(spark):
     assert spark.range(1).select(T.settled_day(F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(False)).alias("s")).collect()[0].s is None
 
 
+def test_scored_links_do_not_depend_on_passes(spark):
+    # Documents 1 and 2 are alike, and so are PO-2 and PO-1; of these only the smaller can be the best.
+    day = date(2026, 8, 20)
+    docs = spark.createDataFrame([(1, "acme steel", 5000, day), (2, "acme steel", 5000, day), (3, "acme steel", 7000, day), (4, None, None, None)], "doc_id bigint, supplier_key string, net_c bigint, day date")
+    lines = spark.createDataFrame([(1, 1, None, "bolt m8"), (2, 1, None, "bolt m8"), (4, 1, "B-3", "nut")], "doc_id bigint, line_no int, sku string, description string")
+    orders = spark.createDataFrame([(po, "acme steel", c, date(2026, 8, 1)) for po, c in (("PO-2", 5000), ("PO-1", 5000), ("PO-3", 7000))], "po string, supplier_key string, net_c bigint, day date")
+    order_lines = spark.createDataFrame([("PO-2", 1, "B-2", "bolt m8"), ("PO-1", 4, "B-2", "bolt m8"), ("PO-3", 1, "B-3", "nut")], "po string, po_line_no int, po_sku string, po_description string")
+    of = lambda **k: {r.doc_id: (r.po, r.score) for r in links.scored_links(docs, lines, orders, order_lines, **k).collect()}
+    assert of(pass_pairs=1) == of() == {1: ("PO-1", 1.0), 2: ("PO-1", 1.0), 3: ("PO-3", 0.75)}
+    assert links.scored_links(docs.where("false"), lines, orders, order_lines).count() == 0
+
+
 def test_links_of_a_scenario(spark):
     orders = spark.createDataFrame([("PO-1", "acme steel", 10000, date(2026, 8, 1)), ("PO-2", "acme steel", 5000, date(2026, 8, 1)), ("PO-3", "", 7000, date(2026, 8, 2))], "po string, supplier_key string, net_c bigint, day date")
     order_lines = spark.createDataFrame([("PO-1", 1, "A-1", "beam"), ("PO-2", 1, "B-2", "bolt m8"), ("PO-3", 1, None, "paint grey")], "po string, po_line_no int, po_sku string, po_description string")
