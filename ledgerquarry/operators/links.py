@@ -11,8 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerquarry.functions.text import line_match, supplier_score
-from ledgerquarry.runtime import cut, drop_cut
+from ledgerquarry.functions.text import jaccard, line_match, supplier_score, words
+from ledgerquarry.runtime import cut
 
 # The weights of supplier, value, time and lines in a link's score, and the scores of the two date windows.
 WEIGHTS = {"supplier": 0.35, "value": 0.25, "time": 0.15, "lines": 0.25}
@@ -58,8 +58,12 @@ def candidate_score(supplier: Column, doc_c: Column, order_c: Column, days: Colu
     return F.round(total, 6)
 
 
-#: Candidate pairs that are compared in one pass.
-PASS_PAIRS = 4_000_000
+#: Candidate pairs that are met in one pass.
+PASS_PAIRS = 400_000_000
+#: Least ``line_match`` of a line that counts as a line of the order.
+LEAST_LINE = 0.6
+#: Months of a key of the goods: a document looks into its own period and the one before.
+PERIOD = 4
 
 
 def scored_links(docs: DataFrame, lines: DataFrame, orders: DataFrame, order_lines: DataFrame, *, least: float = 0.6, pass_pairs: int = PASS_PAIRS) -> DataFrame:
@@ -67,31 +71,36 @@ def scored_links(docs: DataFrame, lines: DataFrame, orders: DataFrame, order_lin
 
     ``docs``: doc_id, supplier_key, net_c, day; ``orders``: po, supplier_key, net_c, day. Candidates are the orders that
     have the document's supplier and its value to the cent, or its supplier in the month of the document or one of the
-    three before, or the code of one of its lines: equi-joins whose blocks grow with what a supplier orders in a month,
-    not with the table. Documents alike in all that is compared are compared once; of such orders only the smallest can be
-    the best. Documents are taken in passes of about ``pass_pairs`` candidates, so that what is shuffled for one is freed
-    before the next.
+    three before, or the code of one of its lines. Documents alike in all that is compared are compared once; of such orders
+    only the smallest can be the best. Texts are compared once (``_fits``), and candidates only where they may come to
+    ``least``: of a supplier's orders those with goods of the document, the others without lines; of the orders with a code
+    of the document those whose supplier, value and time leave them a chance. Pairs are never shuffled, only the best of
+    a task. Documents are taken in passes of about ``pass_pairs`` candidates.
     """
     doc_forms = _alike(docs, lines, "doc_id", ("line_no", "sku", "description"))
     order_forms = _alike(orders, order_lines, "po", ("po_sku", "po_description"))
     docs, lines = (cut(d.join(doc_forms.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")) for d in (docs, lines))
     orders, order_lines = (cut(d.join(order_forms.select(F.col("first").alias("po")), "po", "left_semi")) for d in (orders, order_lines))
-    code = lambda c: F.regexp_replace(F.upper(F.coalesce(F.col(c), F.lit(""))), "[^A-Z0-9]", "")
-    month = lambda c: F.year(c) * 12 + F.month(c)
-    sides = []
-    for d, key, own, line_sku in ((docs, "doc_id", lines, "sku"), (orders, "po", order_lines, "po_sku")):
-        months = F.sequence(month("day") - 3, month("day")) if key == "doc_id" else F.array(month("day"))
-        keys = F.array(F.when((F.col("supplier_key") != "") & (F.col("net_c") > 0), F.concat_ws("|", F.lit("v"), "supplier_key", "net_c")))
-        by_month = F.when((F.col("supplier_key") != "") & F.col("day").isNotNull(), F.transform(months, lambda m: F.concat_ws("|", F.lit("m"), "supplier_key", m.cast("string"))))
-        keyed = d.select(key, F.explode(F.concat(keys, F.coalesce(by_month, F.array().cast("array<string>")))).alias("key")).where("key is not null")
-        coded = own.select(key, code(line_sku).alias("c")).where("c <> ''").select(key, F.concat_ws("|", F.lit("c"), "c").alias("key"))
-        sides.append(cut(keyed.unionByName(coded).distinct()))
-    counts = sides[0].groupBy("key").agg(F.count("*").alias("n")).join(sides[1].groupBy("key").agg(F.count("*").alias("m")), "key")
-    passes = 1 + counts.agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0))).collect()[0][0] // pass_pairs
-    best = []
-    for i in range(passes):
-        mine = [d.where(F.pmod(F.xxhash64("doc_id"), F.lit(passes)) == i) for d in (sides[0], docs, lines)]
-        best.append(_best_of(mine[0], sides[1], mine[1], mine[2], orders, order_lines, least))
+    doc_texts = cut(lines.select("sku", "description").distinct().withColumn("text", F.monotonically_increasing_id()))
+    order_texts = cut(order_lines.select("po_sku", "po_description").distinct().withColumn("goods", F.monotonically_increasing_id()))
+    fits = cut(_fits(doc_texts, order_texts))
+    texts = lines.join(doc_texts, [lines[c].eqNullSafe(doc_texts[c]) for c in ("sku", "description")]).select("doc_id", "line_no", lines["sku"], "text")
+    fitting = texts.where("line_no is not null").join(fits, "text").groupBy("doc_id", "line_no").agg(F.array_distinct(F.flatten(F.collect_list("fits"))).alias("fits"))
+    own = texts.groupBy("doc_id").agg(F.count_distinct("line_no").alias("n"), F.array_distinct(F.filter(F.collect_set(_code("sku")), lambda c: c != "")).alias("codes"))
+    heads = docs.join(own, "doc_id", "left").join(fitting.groupBy("doc_id").agg(F.collect_list("fits").alias("lines")), "doc_id", "left")
+    heads = cut(heads.withColumns({"lines": F.coalesce("lines", F.array().cast("array<array<bigint>>")), "month": _month("day")}))
+    goods = order_lines.join(order_texts, [order_lines[c].eqNullSafe(order_texts[c]) for c in ("po_sku", "po_description")])
+    goods = goods.groupBy("po").agg(F.collect_set("goods").alias("goods"), F.filter(F.collect_set(_code(order_lines["po_sku"])), lambda c: c != "").alias("o_codes"))
+    targets = orders.select("po", *[F.col(c).alias(f"o_{c}") for c in ("supplier_key", "net_c", "day")], _month("day").alias("o_month")).join(goods, "po", "left")
+    targets = cut(targets.withColumn("goods", F.coalesce("goods", F.array().cast("array<bigint>"))))
+    near = cut(_near(heads, targets, _sure(least)))
+    heads = cut(heads.join(near, "supplier_key", "left"))
+    per_key = lambda d, *key: d.groupBy(*key).count()
+    counts = []
+    for a, b in ((heads.select("supplier_key", F.explode(F.sequence(F.col("month") - 3, "month")).alias("m")), targets.select(F.col("o_supplier_key").alias("supplier_key"), F.col("o_month").alias("m"))), (heads.select(F.explode("codes").alias("m")), targets.select(F.explode("o_codes").alias("m")))):
+        counts.append(per_key(a, *a.columns).join(per_key(b, *a.columns).withColumnRenamed("count", "other"), a.columns).agg(F.coalesce(F.sum(F.col("count") * F.col("other")), F.lit(0))).collect()[0][0])
+    passes = 1 + sum(counts) // pass_pairs
+    best = [cut(_best_of(heads.where(F.pmod(F.xxhash64("doc_id"), F.lit(passes)) == i), targets, least)) for i in range(passes)]
     out = reduce(DataFrame.unionByName, best).withColumnRenamed("doc_id", "first").join(doc_forms, "first")
     return out.select(F.explode("members").alias("doc_id"), "po", "score")
 
@@ -103,17 +112,77 @@ def _alike(heads: DataFrame, lines: DataFrame, key: str, parts: tuple[str, ...])
     return cut(heads.join(own, key, "left").groupBy(*content, "own").agg(F.min(key).alias("first"), F.collect_set(key).alias("members")))
 
 
-def _best_of(doc_keys: DataFrame, order_keys: DataFrame, docs: DataFrame, lines: DataFrame, orders: DataFrame, order_lines: DataFrame, least: float) -> DataFrame:
-    met = cut(doc_keys.join(order_keys, "key").select("doc_id", "po").distinct())
-    fits = met.join(lines.select("doc_id", "line_no", "sku", "description"), "doc_id").join(order_lines, "po").where(F.round(line_match(F.col("sku"), F.col("description"), F.col("po_sku"), F.col("po_description")), 6) >= 0.6)
-    hits = fits.groupBy("doc_id", "po").agg(F.count_distinct("line_no").alias("hits"))
-    n_lines = lines.groupBy("doc_id").agg(F.count_distinct("line_no").alias("n"))
-    both = met.join(docs, "doc_id").join(orders.select("po", *[F.col(c).alias(f"o_{c}") for c in ("supplier_key", "net_c", "day")]), "po").join(hits, ["doc_id", "po"], "left").join(n_lines, "doc_id", "left")
-    score = candidate_score(supplier_score(F.col("supplier_key"), F.col("o_supplier_key")), F.coalesce("net_c", F.lit(0)), F.coalesce("o_net_c", F.lit(0)), F.datediff("day", "o_day"), F.try_divide("hits", "n"))
-    best = both.select("doc_id", "po", score.alias("score")).where(F.col("score") >= least).groupBy("doc_id").agg(F.min_by(F.struct("po", "score"), F.struct(-F.col("score"), "po")).alias("b"))
-    out = cut(best.select("doc_id", "b.po", "b.score"))
-    drop_cut(met)
-    return out
+def _code(c: Column | str) -> Column:
+    return F.regexp_replace(F.upper(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))), "[^A-Z0-9]", "")
+
+
+def _month(c: str) -> Column:
+    return F.year(c) * 12 + F.month(c)
+
+
+def _fits(doc_texts: DataFrame, order_texts: DataFrame) -> DataFrame:
+    """(text, fits): the ``goods`` whose ``line_match`` with a text (text, sku, description) is at least ``LEAST_LINE``, by
+    equi-joins: on the code, on the stretches of the description as long as a code, and on words. Texts that share so many
+    of their words share one of the first few in any one order of words; the rarest come first."""
+    a = cut(doc_texts.select("text", _code("sku").alias("a"), _code("description").alias("run"), words(F.col("description")).alias("w")))
+    b = cut(order_texts.select("goods", _code("po_sku").alias("b"), words(F.col("po_description")).alias("o_w")))
+    by_code = a.where("a <> ''").join(b.where("b <> ''"), F.col("a") == F.col("b")).select("text", "goods")
+    lengths = sorted(r[0] for r in b.where("b <> ''").select(F.length("b")).distinct().collect())  # as many as a code has signs at most
+    stretches = F.flatten(F.transform(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: F.when(F.length("run") >= n, F.transform(F.sequence(F.lit(1), F.length("run") - n + 1), lambda i: F.substring(F.col("run"), i, n))).otherwise(F.array().cast("array<string>"))))
+    by_run = a.where("a = ''").select("text", F.explode(F.array_distinct(stretches)).alias("b")).join(b.where("b <> ''"), "b").select("text", "goods")
+    of = [a.select(F.col("text").alias("id"), F.explode("w").alias("word")), b.select(F.col("goods").alias("id"), F.explode("o_w").alias("word"))]
+    often = cut(of[0].unionByName(of[1]).groupBy("word").count())
+    firsts = []
+    for d, name in zip(of, ("text", "goods")):
+        ranked = d.join(often, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("count", "word"))).alias("r"))
+        most = F.size("r") - F.ceil((LEAST_LINE - 0.001) * F.size("r")).cast("int") + 1
+        firsts.append(ranked.select(F.col("id").alias(name), F.explode(F.slice(F.col("r"), F.lit(1), most)).alias("r")).select(name, F.col("r.word").alias("word")))
+    share = firsts[0].join(firsts[1], "word").select("text", "goods").distinct().join(a, "text").join(b, "goods")
+    by_words = share.where((F.col("a") == "") | (F.col("b") == "")).where(F.round(jaccard(F.col("w"), F.col("o_w")), 6) >= LEAST_LINE).select("text", "goods")
+    return by_code.unionByName(by_run).unionByName(by_words).groupBy("text").agg(F.collect_set("goods").alias("fits"))
+
+
+def _sure(least: float) -> float:
+    """The supplier score under which a pair doesn't come to ``least`` by time and lines alone."""
+    return (least - 1e-6 - WEIGHTS["time"] - WEIGHTS["lines"]) / WEIGHTS["supplier"]
+
+
+def _near(heads: DataFrame, targets: DataFrame, sure: float) -> DataFrame:
+    """(supplier_key, near): of the suppliers that meet one in a code, those with a score of at least ``sure``."""
+    a = heads.select("supplier_key", F.explode("codes").alias("c")).distinct()
+    b = targets.select("o_supplier_key", F.explode("o_codes").alias("c")).distinct()
+    pairs = a.join(b, "c").select("supplier_key", "o_supplier_key").distinct()
+    return pairs.where(supplier_score(F.col("supplier_key"), F.col("o_supplier_key")) >= sure).groupBy("supplier_key").agg(F.collect_set("o_supplier_key").alias("near"))
+
+
+def _best_of(heads: DataFrame, targets: DataFrame, least: float) -> DataFrame:
+    days = F.datediff("day", "o_day")
+    net, o_net = F.coalesce("net_c", F.lit(0)), F.coalesce("o_net_c", F.lit(0))
+    score = lambda supplier, share: candidate_score(supplier, net, o_net, days, share)
+    suppliers = supplier_score(F.col("supplier_key"), F.col("o_supplier_key"))
+    hits = F.size(F.filter("lines", lambda line: F.arrays_overlap(line, F.col("goods"))))
+    kept = lambda d, s: d.select("doc_id", "po", s.alias("score")).where(F.col("score") >= least)
+    exact = lambda d: kept(d, score(suppliers, F.try_divide(hits, "n")))
+    same = (F.col("supplier_key") == F.col("o_supplier_key")) & (F.col("supplier_key") != "")
+    in_months = (F.col("month") - F.col("o_month")).between(0, 3)
+    by_value = exact(heads.where("net_c > 0").join(targets, same & (F.col("net_c") == F.col("o_net_c"))))
+    period = lambda c: F.floor(F.col(c) / PERIOD)
+    of_goods = heads.where("supplier_key <> ''").withColumn("g", F.explode(F.array_distinct(F.flatten("lines")))).withColumn("p", F.explode(F.array(period("month"), period("month") - 1)))
+    with_goods = targets.withColumn("g", F.explode("goods")).withColumn("p", period("o_month"))
+    by_goods = exact(of_goods.withColumn("k", F.col("supplier_key")).join(with_goods.withColumn("k", F.col("o_supplier_key")).hint("merge"), ["k", "g", "p"]).where(in_months))
+    # An order of the supplier without such goods has nothing of its lines; without a value it can't come to so much.
+    plain = heads.drop("lines", "codes", "near", "n")
+    if least > WEIGHTS["supplier"] + WEIGHTS["time"] + 1e-6:
+        plain = plain.where("net_c <> 0")
+    months = plain.where("supplier_key <> ''").withColumn("k", F.col("supplier_key")).withColumn("o_month", F.explode(F.sequence(F.col("month") - 3, "month")))
+    by_month = kept(months.join(targets.drop("goods", "o_codes").withColumn("k", F.col("o_supplier_key")).hint("merge"), ["k", "o_month"]), score(F.lit(1.0), F.lit(0.0)))
+    # Another supplier's order needs a value near the document's.
+    coded = heads.withColumn("c", F.explode("codes")).join(targets.withColumn("c", F.explode("o_codes")).hint("merge"), "c")
+    chance = score(F.lit(_sure(least)), F.lit(1.0)) >= least - 2e-6
+    by_code = exact(coded.where(F.coalesce(F.array_contains("near", F.col("o_supplier_key")), F.lit(False)) | ((net != 0) & (o_net != 0) & chance)))
+    met = reduce(DataFrame.unionByName, [by_value, by_goods, by_month, by_code])
+    best = met.groupBy("doc_id").agg(F.min_by(F.struct("po", "score"), F.struct(-F.col("score"), "po")).alias("b"))
+    return best.select("doc_id", "b.po", "b.score")
 
 
 def balances(invoices: DataFrame, credits: DataFrame, payments: DataFrame) -> DataFrame:

@@ -151,6 +151,31 @@ def test_scored_links_do_not_depend_on_passes(spark):
     assert links.scored_links(docs.where("false"), lines, orders, order_lines).count() == 0
 
 
+def test_scored_links_write_no_pairs(spark, monkeypatch):
+    day, n, written = date(2026, 8, 20), 60, []
+    monkeypatch.setattr(links, "cut", lambda df, cut=links.cut: written.append(cut(df)) or written[-1])
+    docs = spark.createDataFrame([(i, "acme steel", 5000 + 100 * i, day) for i in range(n)], "doc_id bigint, supplier_key string, net_c bigint, day date")
+    lines = spark.createDataFrame([(i, 1, None, "bolt m8 zinc") for i in range(n)], "doc_id bigint, line_no int, sku string, description string")
+    orders = spark.createDataFrame([(f"PO-{i:02}", "acme steel", 5000 + 100 * i, date(2026, 8, 1)) for i in range(n)], "po string, supplier_key string, net_c bigint, day date")
+    order_lines = spark.createDataFrame([(f"PO-{i:02}", 1, None, "zinc bolt m8" if i % 2 else "paint") for i in range(n)], "po string, po_line_no int, po_sku string, po_description string")
+    got = {r.doc_id: (r.po, r.score) for r in links.scored_links(docs, lines, orders, order_lines).collect()}
+    # The order of the value has the goods, or the next one has and is as near as one of 100 cents more.
+    assert all(got[i] == (f"PO-{i:02}", 1.0) for i in range(1, n, 2)) and all(got[i][0] in (f"PO-{i - 1:02}", f"PO-{i + 1:02}") for i in range(0, n, 2))
+    assert max(d.count() for d in written) <= 2 * n
+
+
+def test_fits_are_those_of_line_match(spark):
+    texts = ["", None, "bolt", "Bolt M8 zinc pack", "zinc M8 bolt", "m8 bolt zinc plated pack 50", "FX-10 bolt", "paint grey 20L", "grey paint 20l drum", "bolt bolt bolt", "a b c d e", "a b c x y", "a b c d x"]
+    codes = [None, "", "FX-10", "fx10", "B2", "--"]
+    both = [(c, t) for c in codes for t in texts]
+    a = spark.createDataFrame([(i, *x) for i, x in enumerate(both)], "text bigint, sku string, description string")
+    b = spark.createDataFrame([(i, *x) for i, x in enumerate(both)], "goods bigint, po_sku string, po_description string")
+    want = a.crossJoin(b).where(F.round(T.line_match(F.col("sku"), F.col("description"), F.col("po_sku"), F.col("po_description")), 6) >= 0.6)
+    pairs = lambda d: {(r.text, r.goods) for r in d.collect()}
+    assert pairs(links._fits(a, b).select("text", F.explode("fits").alias("goods"))) == pairs(want)
+    assert links._fits(a.where("false"), b).count() == links._fits(a, b.where("false")).count() == 0
+
+
 def test_links_of_a_scenario(spark):
     orders = spark.createDataFrame([("PO-1", "acme steel", 10000, date(2026, 8, 1)), ("PO-2", "acme steel", 5000, date(2026, 8, 1)), ("PO-3", "", 7000, date(2026, 8, 2))], "po string, supplier_key string, net_c bigint, day date")
     order_lines = spark.createDataFrame([("PO-1", 1, "A-1", "beam"), ("PO-2", 1, "B-2", "bolt m8"), ("PO-3", 1, None, "paint grey")], "po string, po_line_no int, po_sku string, po_description string")
