@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerquarry.functions.text import jaccard, line_match, supplier_score, words
-from ledgerquarry.runtime import cut
+from ledgerquarry.runtime import cut, default_partitions
 
 # The weights of supplier, value, time and lines in a link's score, and the scores of the two date windows.
 WEIGHTS = {"supplier": 0.35, "value": 0.25, "time": 0.15, "lines": 0.25}
@@ -74,8 +74,8 @@ def scored_links(docs: DataFrame, lines: DataFrame, orders: DataFrame, order_lin
     three before, or the code of one of its lines. Documents alike in all that is compared are compared once; of such orders
     only the smallest can be the best. Texts are compared once (``_fits``), and candidates only where they may come to
     ``least``: of a supplier's orders those with goods of the document, the others without lines; of the orders with a code
-    of the document those whose supplier, value and time leave them a chance. Pairs are never shuffled, only the best of
-    a task. Documents are taken in passes of about ``pass_pairs`` candidates.
+    of the document those whose supplier, value and time may lift them over what is found so. Only such pairs are shuffled,
+    and the best of a task. Documents are taken in passes of about ``pass_pairs`` candidates.
     """
     doc_forms = _alike(docs, lines, "doc_id", ("line_no", "sku", "description"))
     order_forms = _alike(orders, order_lines, "po", ("po_sku", "po_description"))
@@ -92,7 +92,7 @@ def scored_links(docs: DataFrame, lines: DataFrame, orders: DataFrame, order_lin
     goods = order_lines.join(order_texts, [order_lines[c].eqNullSafe(order_texts[c]) for c in ("po_sku", "po_description")])
     goods = goods.groupBy("po").agg(F.collect_set("goods").alias("goods"), F.filter(F.collect_set(_code(order_lines["po_sku"])), lambda c: c != "").alias("o_codes"))
     targets = orders.select("po", *[F.col(c).alias(f"o_{c}") for c in ("supplier_key", "net_c", "day")], _month("day").alias("o_month")).join(goods, "po", "left")
-    targets = cut(targets.withColumn("goods", F.coalesce("goods", F.array().cast("array<bigint>"))))
+    targets = cut(_ranked(targets.withColumn("goods", F.coalesce("goods", F.array().cast("array<bigint>")))))
     near = cut(_near(heads, targets, _sure(least)))
     heads = cut(heads.join(near, "supplier_key", "left"))
     per_key = lambda d, *key: d.groupBy(*key).count()
@@ -161,28 +161,46 @@ def _best_of(heads: DataFrame, targets: DataFrame, least: float) -> DataFrame:
     score = lambda supplier, share: candidate_score(supplier, net, o_net, days, share)
     suppliers = supplier_score(F.col("supplier_key"), F.col("o_supplier_key"))
     hits = F.size(F.filter("lines", lambda line: F.arrays_overlap(line, F.col("goods"))))
-    kept = lambda d, s: d.select("doc_id", "po", s.alias("score")).where(F.col("score") >= least)
+    kept = lambda d, s: d.withColumn("score", s).where(F.col("score") >= least).select("doc_id", (F.round(F.col("score") * MILLION).cast("bigint") * RANKS + (RANKS - 1 - F.col("rank"))).alias("top"))
     exact = lambda d: kept(d, score(suppliers, F.try_divide(hits, "n")))
+    top = lambda d: d.groupBy("doc_id").agg(F.max("top").alias("top"))
     same = (F.col("supplier_key") == F.col("o_supplier_key")) & (F.col("supplier_key") != "")
     in_months = (F.col("month") - F.col("o_month")).between(0, 3)
     by_value = exact(heads.where("net_c > 0").join(targets, same & (F.col("net_c") == F.col("o_net_c"))))
     period = lambda c: F.floor(F.col(c) / PERIOD)
-    of_goods = heads.where("supplier_key <> ''").withColumn("g", F.explode(F.array_distinct(F.flatten("lines")))).withColumn("p", F.explode(F.array(period("month"), period("month") - 1)))
-    with_goods = targets.withColumn("g", F.explode("goods")).withColumn("p", period("o_month"))
-    by_goods = exact(of_goods.withColumn("k", F.col("supplier_key")).join(with_goods.withColumn("k", F.col("o_supplier_key")).hint("merge"), ["k", "g", "p"]).where(in_months))
+    of_goods = heads.drop("codes", "near").where("supplier_key <> ''").withColumns({"k": F.col("supplier_key"), "g": F.explode(F.array_distinct(F.flatten("lines")))}).withColumn("p", F.explode(F.array(period("month"), period("month") - 1)))
+    with_goods = targets.drop("o_codes").withColumns({"k": F.col("o_supplier_key"), "g": F.explode("goods"), "p": period("o_month")})
+    by_goods = exact(of_goods.join(with_goods.hint("merge"), ["k", "g", "p"]).where(in_months))
     # An order of the supplier without such goods has nothing of its lines; without a value it can't come to so much.
     plain = heads.drop("lines", "codes", "near", "n")
     if least > WEIGHTS["supplier"] + WEIGHTS["time"] + 1e-6:
         plain = plain.where("net_c <> 0")
-    months = plain.where("supplier_key <> ''").withColumn("k", F.col("supplier_key")).withColumn("o_month", F.explode(F.sequence(F.col("month") - 3, "month")))
+    months = plain.where("supplier_key <> ''").withColumns({"k": F.col("supplier_key"), "o_month": F.explode(F.sequence(F.col("month") - 3, "month"))})
     by_month = kept(months.join(targets.drop("goods", "o_codes").withColumn("k", F.col("o_supplier_key")).hint("merge"), ["k", "o_month"]), score(F.lit(1.0), F.lit(0.0)))
-    # Another supplier's order needs a value near the document's.
-    coded = heads.withColumn("c", F.explode("codes")).join(targets.withColumn("c", F.explode("o_codes")).hint("merge"), "c")
-    chance = score(F.lit(_sure(least)), F.lit(1.0)) >= least - 2e-6
-    by_code = exact(coded.where(F.coalesce(F.array_contains("near", F.col("o_supplier_key")), F.lit(False)) | ((net != 0) & (o_net != 0) & chance)))
-    met = reduce(DataFrame.unionByName, [by_value, by_goods, by_month, by_code])
-    best = met.groupBy("doc_id").agg(F.min_by(F.struct("po", "score"), F.struct(-F.col("score"), "po")).alias("b"))
-    return best.select("doc_id", "b.po", "b.score")
+    first = cut(top(reduce(DataFrame.unionByName, [by_value, by_goods, by_month])))
+    # An order with a code of the document must come to the best of these; another supplier's needs a value near the
+    # document's. Only those that may are compared by their lines.
+    bound = F.greatest(F.lit(least), F.coalesce(F.shiftright("top", RANK_BITS) / MILLION, F.lit(0.0)))
+    coded = heads.join(first, "doc_id", "left").select("doc_id", "supplier_key", "net_c", "day", "near", bound.alias("bound"), F.explode("codes").alias("c"))
+    coded = coded.join(targets.select("rank", "o_supplier_key", "o_net_c", "o_day", F.explode("o_codes").alias("c")).hint("merge"), "c")
+    by_supplier = F.coalesce(F.array_contains("near", F.col("o_supplier_key")), F.lit(False)) & (score(F.lit(1.0), F.lit(1.0)) >= F.col("bound"))
+    by_worth = (net != 0) & (o_net != 0) & (score(F.lit(_sure(least)), F.lit(1.0)) >= F.col("bound") - 2e-6)
+    chance = coded.where(by_supplier | by_worth).where(score(suppliers, F.lit(1.0)) >= F.col("bound")).select("doc_id", "rank")
+    by_code = exact(chance.join(heads.drop("codes", "near"), "doc_id").join(targets.drop("o_codes"), "rank"))
+    best = top(first.unionByName(by_code)).select("doc_id", (RANKS - 1 - F.pmod("top", F.lit(RANKS))).alias("rank"), (F.shiftright("top", RANK_BITS) / MILLION).alias("score"))
+    return best.join(targets.select("rank", "po"), "rank").select("doc_id", "po", "score")
+
+
+#: A score in millionths and a rank are packed in one number, whose maximum needs no sorting.
+MILLION, RANK_BITS, RANK_PARTS = 1_000_000, 42, 1 << 10
+RANKS = 1 << RANK_BITS
+
+
+def _ranked(targets: DataFrame) -> DataFrame:
+    """``targets`` with rank: under ``RANKS``, in the order of po."""
+    at = targets.repartitionByRange(min(RANK_PARTS, default_partitions(targets.sparkSession)), "po").sortWithinPartitions("po").withColumn("at", F.monotonically_increasing_id())
+    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return at.withColumn("rank", part * (RANKS // RANK_PARTS) + row).drop("at")
 
 
 def balances(invoices: DataFrame, credits: DataFrame, payments: DataFrame) -> DataFrame:
